@@ -1,0 +1,295 @@
+"""High-recall candidates for personal data in a text, and what tells true ones from false.
+
+Generators propose overlapping spans of each kind; features describe a span's own form and its surroundings on the line. No
+list of given or family names is used: what makes a name is form, context, and that its words are rare in lower case.
+"""
+
+from __future__ import annotations
+
+import re
+import zlib
+from collections.abc import Callable, Iterator
+
+import numpy as np
+
+KINDS = ("email", "phone", "id", "address", "name")
+BEFORE, AFTER = 48, 36
+
+# ---- words that speak for or against a kind: fixed values, in English, Spanish, French and German ----
+
+CUES = {
+    "email": "mail email e-mail mailto correo courriel write escribir escribe écrire schreiben contact contacto kontakt cc bcc reach sent send maintainer reply responder antworten from to",
+    "phone": "tel tél telf telephone teléfono telefono téléphone telefon phone mobile móvil movil portable handy call llamar llama appeler joignable anrufen rückruf ring pager sms fax whatsapp line extension número numéro desk",
+    "id": "dni nif nie ssn nino passport pasaporte passeport reisepass identity identidad identité identität ausweis personalausweis id national nacional nationale insurance seguro sécurité sociale social security seguridad tax fiscal steuer steuernummer residence residencia séjour card tarjeta carte document documento ni permiso holder titular",
+    "address": "address dirección direccion adresse anschrift domicilio domicile live lives vivo vive habite wohne wohnt office oficina bureau büro ship deliver deliver_to envío enviar send moved home casa treffpunkt located ubicada parcel post postal",
+    "name": "by to thanks merci gracias danke ask according según segun selon laut contact contacto kontakt reviewed-by signed-off-by co-authored-by reported author autor auteur owner assignee maintainer name nombre nom saludos regards cordialement grüße grüßen atentamente señora señor sra sr mr mrs ms dr prof herr frau mme madame monsieur signed dear querida querido cher chère liebe lieber cc attn von por par from with con avec mit",
+}
+CUES_AFTER = {
+    "email": "please if para for pour für",
+    "phone": "after tardes mañanas erbeten soir ext",
+    "id": "on según is card holder",
+    "address": "ground",
+    "name": "wrote asked said says pidió escribió dijo écrit demandé schrieb fragte sagte before for pour para reported will has is",
+}
+AGAINST = set(
+    "part parts no. serial batch ticket tickets order orders job build lot lote pieza serie pedido sku article artikel invoice factura version release commit digest huella empreinte checked stock rows restarted timeout port listening "
+    "request page pages figure figura abbildung chapter section table layout starts clone pinned dense decorate import package npm docker remote repository image file files fichier archivo datei line lines step index rule guide "
+    "replaces stay sort search closed hash sha256 md5 branch tag module class function".split()
+)
+#: Function words, openers of sentences and labels: no part of a name or a town.
+COMMON = set(
+    "the a an and or of in on at to for with by from is are was were be this that these those it its our your my we you they he she his her their i if when why how what where who which not no yes "
+    "ask call write reach ship send hello hi dear good morning thanks best kind regards according reported reviewed signed author owner contact name address phone tel fax email mail identity document form card part order release figure "
+    "main street view road please note see since summary inputs outputs limitations responsibilities steps open question only build two nothing nobody evidence copyright licence license all rights reserved "
+    "el la los las un una unos unas y o de del en con por para al su sus mi tu es son según segun hola buenos buenas días tardes saludos gracias atentamente dirección direccion teléfono telefono contacto escribir correo pasaporte documento identidad llamar "
+    "le les des du et ou dans avec pour par sur au aux ce cette ces son sa ses mon ma bonjour bonsoir merci cordialement adresse selon joignable pasaporte passeport "
+    "der die das den dem ein eine einer und oder im am vom zum zur mit für von bei ist sind hallo guten tag mit freundlichen grüßen rückruf treffpunkt anschrift laut danke "
+    "nif nie dni ssn passport national social security insurance pager desk job serial batch ticket request checked merge use pinned git listening path to do edit don code generated file machine written".split()
+)
+TITLES = set("dr dra prof sr sra srta mr mrs ms miss mme mlle herr frau don doña señora señor señorita madame monsieur lic ing".split())
+PARTICLES = "de|del|la|las|los|van|von|der|den|di|da|dos|du|le|ter|ten|zu|af|y|e|bin|ibn|al|DE|DEL|LA|LAS|LOS|VAN|VON|DER|DEN|DI"
+FILE_ENDINGS = set("png jpg jpeg gif svg webp js ts css html json xml yml yaml py rb go java md txt zip gz tar pdf lock map min".split())
+DIAL_CODES = ("1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "53", "54", "55", "56", "57", "58", "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "92", "351", "352", "353", "354", "358", "420", "421", "593", "598")
+DNI_LETTERS = "TRWAGMYFPDXBNJZSQVHLCKE"
+
+# ---- generators ---------------------------------------------------------------------------------------------------
+
+_AT = r"(?:\s?[\[({<]\s?(?:at|arroba|ät|chez|AT|@)\s?[\])}>]\s?|[ ](?:at|AT|arroba)[ ]|[ ]@[ ])"
+_DOT = r"(?:\s?[\[({<]\s?(?:dot|punto|point|punkt|DOT|\.)\s?[\])}>]\s?|[ ](?:dot|DOT|punto|point|punkt)[ ])"
+_PLAIN_MAIL = re.compile(r"(?<![\w.+%@/-])[\w%+][\w.%+'-]{0,63}@[\w-]+(?:\.[\w-]+)+")
+_VEILED_MAIL = re.compile(rf"(?<![\w.+%@/-])[\w%+][\w%+-]*(?:(?:\.|{_DOT})[\w%+-]+)*{_AT}[\w-]+(?:(?:\.|{_DOT})[\w-]+)+")
+_GAP = "   "
+_PHONE = re.compile(rf"(?<![\w.+/#@:-])(?<!\d[{_GAP}])(?:\+\d|00\d|\(\+?\d|\d)[\d{_GAP}().\-/‐-–]{{4,22}}\d(?![\w@]|[-/.:]\w)")
+_IDS = [
+    (0, re.compile(r"(?<![\w.-])\d{8}[- ]?[A-Z](?![\w-])|(?<![\w.-])\d{8}-?[a-z](?![\w-])")),
+    (1, re.compile(r"(?<![\w.-])\d{2}[. ]\d{3}[. ]\d{3}[- ]?[A-Za-z](?![\w-])")),
+    (2, re.compile(r"(?<![\w.-])[XYZxyz][- ]?\d{1}\.?\d{3}\.?\d{3}[- ]?[A-Za-z](?![\w-])")),
+    (3, re.compile(r"(?<![\w.-])[A-Za-z]{2}[ -]?\d{2}[ -]?\d{2}[ -]?\d{2}[ -]?[A-Da-d](?![\w-])")),
+    (4, re.compile(r"(?<![\w.-])\d{3}[- ]\d{2}[- ]\d{4}(?![\w-])")),
+    (5, re.compile(r"(?<![\w.-])[A-Z]{1,3} ?\d{6,9}(?![\w-])")),
+    (6, re.compile(r"(?<![\w.+-])[12] ?\d{2} ?\d{2} ?\d{2} ?\d{3} ?\d{3}(?: ?\d{2})?(?![\w-])")),
+    (7, re.compile(r"(?<![\w.+-])\d{2} ?\d{3} ?\d{3} ?\d{3}(?![\w-])|(?<![\w.+-])\d{9}(?![\w-])|(?<![\w.-])(?=[A-Z0-9]{9,10}(?![\w-]))[A-Z]\w*\d\w*")),
+]
+_U = "A-ZÀ-ÖØ-ÞŁŚŠŽ"
+_L = "a-zß-öø-ÿœłśšž"
+_CAP = rf"(?:(?:Mc|Mac|O['’]|D['’]|d['’]|L['’])?[{_U}][{_L}'’]*[{_L}](?:-(?:[{_U}][{_L}'’]+))*)"
+_UP = rf"(?:[{_U}]{{3,}}(?:-[{_U}]{{2,}})*)"
+_INIT = rf"(?:[{_U}]\.(?:[ -]?[{_U}]\.)*)"
+_TOKEN = rf"(?:{_INIT}|{_CAP}(?!\w)|{_UP}(?!\w))"
+_RUN = re.compile(rf"(?<![\w@/.'’-])(?:(?:{PARTICLES})[ ]){{0,3}}{_TOKEN}(?:,?[ ](?:(?:{PARTICLES})[ ]){{0,3}}{_TOKEN})+(?![\w@(]|[/_][\w])")
+_PIECE = re.compile(rf"(,?)[ ]?((?:(?:{PARTICLES})[ ]){{0,3}})({_TOKEN})")
+
+_TOWN = rf"[{_U}][{_L}'’]+(?:(?:-|[ ](?:(?:am|an|der|de|del|la|las|los|sur|sous|les|le|upon|on|in|im|bei|ob|y)[ ]){{0,2}})[{_U}][{_L}'’]+){{0,3}}"
+_WORDS = rf"(?:(?:[{_U}][\w'’-]*|de|del|la|las|los|el|le|les|du|des|d['’]|aux|au|à|y|et|der|den|am|an|zur|zum)[ ]?){{1,6}}"
+_ZIP = r"(?:\d{5}(?:-\d{4})?|\d{4}[ ]?[A-Z]{2}|[A-Z]{1,2}\d[A-Z\d]?[ ]?\d[A-Z]{2})"
+_US_WAY = r"(?:St|Street|Rd|Road|Ln|Lane|Ave|Avenue|Close|Drive|Dr|Court|Ct|Way|Place|Pl|Square|Sq|Blvd|Boulevard|Terrace|Crescent|Hill|Row|Gardens|Parkway|Walk|Mews|Grove)\.?"
+_UNIT = r"(?:,?[ ](?:Apt|Apartment|Flat|Unit|Suite|Ste|Room|Floor|No|#)\.?[ ]?[\w-]{1,5})?"
+_ES_WAY = r"(?:Calle|C/|C\.|Cl\.|Avda\.?|Av\.|Avenida|Plaza|Pza\.?|Pl\.|Paseo|Pº|Camino|Cno\.|Carrer|Carretera|Ctra\.|Ronda|Travesía|Rúa|Rambla|Glorieta)"
+_FR_WAY = r"(?:rue|avenue|av\.|boulevard|bd|place|chemin|impasse|allée|allées|quai|cours|route|square|passage|Rue|Avenue|Boulevard|Place|Chemin|Impasse|Allée|Quai)"
+_DE_WAY = rf"(?:[{_U}][{_L}]+[ ])?[{_U}][{_L}-]*(?:straße|strasse|str\.|weg|gasse|platz|allee|ring|ufer|damm|steig)|(?:[{_U}][{_L}]+[ ]){{1,2}}(?:Straße|Strasse|Str\.|Weg|Gasse|Platz|Allee|Ring|Ufer|Damm|Steig)"
+_BOX = r"(?:P\.?[ ]?O\.?[ ]?Box|Post Office Box|Apartado(?: de [Cc]orreos)?|Apdo\.?(?: de [Cc]orreos)?|Postfach|Boîte [Pp]ostale|B\.?P\.?|Casilla)"
+_ADDRESSES = [
+    (0, rf"\d{{1,5}}[A-Za-z]?[ ](?:[{_U}][{_L}'’-]+[ ]){{1,4}}{_US_WAY}{_UNIT}"),
+    (1, rf"{_ES_WAY}[ ]?{_WORDS},?[ ](?:n\.?º[ ]?|núm\.?[ ]?)?\d{{1,4}}(?:[ ]bis)?(?:,[ ](?:piso[ ])?\d{{1,2}}[.]?[ºª°]?(?:[ ]?[A-Z]|[ ](?:izq|dcha|izda)\.?)?)?"),
+    (2, rf"\d{{1,4}}(?:[ ](?:bis|ter))?,?[ ]{_FR_WAY}[ ]{_WORDS}"),
+    (3, rf"(?:{_DE_WAY})[ ]\d{{1,4}}[ ]?[a-z]?"),
+    (4, rf"{_BOX}[ ](?:n\.?º[ ]?)?\d{{1,6}}"),
+]
+_END = re.compile(rf",?[ ](?:{_ZIP},?[ ])?(?P<town>{_TOWN})(?:,?[ ](?P<zip>{_ZIP})(?!\w))?|,?[ ](?P<only>{_ZIP})(?!\w)")
+_STREETS = [(form, re.compile(rf"(?<![\w/-])(?:{p})(?=,|[ ])")) for form, p in _ADDRESSES]
+
+
+def emails(text: str) -> Iterator[tuple[int, int, int]]:
+    if "@" in text:
+        for m in _PLAIN_MAIL.finditer(text):
+            yield m.start(), len(m.group().rstrip(".'-")) + m.start(), 0
+    for m in _VEILED_MAIL.finditer(text):
+        yield m.start(), m.end(), 1
+
+
+def phones(text: str) -> Iterator[tuple[int, int, int]]:
+    for m in _PHONE.finditer(text):
+        digits = sum(c.isdigit() for c in m.group())
+        if 7 <= digits <= 16:
+            yield m.start(), m.end(), 0
+
+
+def ids(text: str) -> Iterator[tuple[int, int, int]]:
+    for form, p in _IDS:
+        for m in p.finditer(text):
+            yield m.start(), m.end(), form
+
+
+def addresses(text: str) -> Iterator[tuple[int, int, int]]:
+    """A street or box with what ends it; for a town of several words, each shorter town as well."""
+    for form, p in _STREETS:
+        for m in p.finditer(text):
+            end = _END.match(text, m.end())
+            if not end:
+                continue
+            if end["only"]:
+                yield m.start(), end.end(), form
+                continue
+            stops = {end.end()}
+            if end["zip"] is None:
+                town = end["town"]
+                stops |= {end.start("town") + i for i, c in enumerate(town) if c in " -"}
+            for stop in stops:
+                yield m.start(), stop, form
+
+
+def names(text: str) -> Iterator[tuple[int, int, int]]:
+    """Every stretch of two to four capitalised words of a run, and Family, Given where a comma stands between."""
+    for run in _RUN.finditer(text):
+        pieces = [(m.start(3), m.end(3), m.start(2) if m.group(2) else m.start(3), bool(m.group(1))) for m in _PIECE.finditer(text, run.start(), run.end())]
+        for i in range(len(pieces)):
+            commas = 0
+            for j in range(i + 1, min(len(pieces), i + 4)):
+                commas += pieces[j][3]
+                if commas > 1:
+                    break
+                if _INITIAL.match(text, pieces[j][0], pieces[j][1]) and not commas:
+                    continue
+                yield pieces[i][0], pieces[j][1], 1 if commas else 0
+                if commas and pieces[i][2] < pieces[i][0]:
+                    yield pieces[i][2], pieces[j][1], 1
+
+
+_INITIAL = re.compile(rf"[{_U}]\.")
+GENERATORS: dict[str, Callable[[str], Iterator[tuple[int, int, int]]]] = {"email": emails, "phone": phones, "id": ids, "address": addresses, "name": names}
+
+# ---- how often words occur in lower case ----------------------------------------------------------------------------
+
+TABLE_BITS = 20
+_LOWER = re.compile(r"(?<![\w.@+/'’-])[a-zß-öø-ÿ]{3,}(?![\w@+/-]|\.\w|[ ]\[?(?:at|dot|arroba)\b)")
+
+
+def slots(word: str) -> tuple[int, int]:
+    b = word.encode()
+    return zlib.crc32(b) & ((1 << TABLE_BITS) - 1), (1 << TABLE_BITS) + (zlib.crc32(b, 0x5BD1E995) >> 5 & ((1 << TABLE_BITS) - 1))
+
+
+class Vocabulary:
+    """Counts of lower-case words in two hashed tables of fixed size; a word's count is the lesser of its two slots."""
+
+    def __init__(self, counts: np.ndarray, total: int):
+        self.counts, self.total, self.memory = counts, max(1, total), {}
+
+    def per_million(self, word: str) -> float:
+        out = self.memory.get(word)
+        if out is None:
+            a, b = slots(word)
+            out = float(np.log1p(min(self.counts[a], self.counts[b]) * 1e6 / self.total))
+            if len(self.memory) < 200_000:
+                self.memory[word] = out
+        return out
+
+
+# ---- features -------------------------------------------------------------------------------------------------------
+
+_TOKENS = re.compile(r"[\w.'’-]*\w[.]?|[^\w\s]")
+_CUE_SETS = {k: set(v.split()) for k, v in CUES.items()}
+_CUE_SETS_AFTER = {k: set(v.split()) for k, v in CUES_AFTER.items()}
+_CLASSES = {c: i for i, cs in enumerate(["\n", " \t", "\"'`“”«»", "=", ":", "<>", "()[]{}", ",;", ".!?", "/\\", "-_*#"], 1) for c in cs}
+
+
+def _char_class(text: str, at: int) -> int:
+    if at < 0 or at >= len(text):
+        return 1
+    return _CLASSES.get(text[at], 12 if text[at].isalnum() else 0)
+
+
+def _words(part: str) -> list[str]:
+    out = []
+    for w in _TOKENS.findall(part):
+        w = w.lower()
+        out.append(w)
+        if w[-1] == "." and len(w) > 1:
+            out[-1] = w[:-1]
+            out.append(".")
+    return out
+
+
+def _nearest(words: list[str], lexicon: set[str]) -> int:
+    """5 for a word of the lexicon next to the span, less the farther away, 0 for none; a full stop between ends the search."""
+    far = 0
+    for w in words:
+        if w in (".", "!", "?"):
+            if far:
+                return 0
+            continue
+        if w in lexicon or ("_" in w and any(x in lexicon for x in w.split("_"))):
+            return max(1, 5 - far)
+        if w[0].isalnum():
+            far += 1
+        if far > 5:
+            break
+    return 0
+
+
+def _own_features(kind: str, text: str, a: int, b: int, form: int, vocabulary: Vocabulary) -> list[float]:
+    s = text[a:b]
+    digits = "".join(c for c in s if c.isdigit())
+    if kind == "email":
+        domain = re.split(r"@|\bat\b|\barroba\b", s)[-1].strip(" ])}>")
+        last = re.split(r"[.\s\[\](){}]+", domain.rstrip(" ])}>"))[-1].lower()
+        local = re.split(r"@|[\[({<\s]\s?(?:at|arroba)", s)[0]
+        return [form, float(last.isalpha()), len(last), float(last in FILE_ENDINGS), float(domain[:1].isdigit()), float(local in ("git", "hg", "svn", "npm", "user", "root", "ssh")), len(local), float(text[b : b + 1] == ":" and text[b + 1 : b + 2].isalnum()), float(any(c.isdigit() for c in domain)), s.count(" ")]
+    if kind == "phone":
+        plus, double0 = s.startswith(("+", "(+")), s.startswith("00")
+        national = digits[2:] if double0 else digits
+        known = max((len(c) for c in DIAL_CODES if national.startswith(c)), default=0) if plus or double0 else 0
+        groups = [len(g) for g in re.findall(r"\d+", s)]
+        return [len(digits), float(plus), float(double0), known, float(digits.startswith("0")), len(groups), groups[0], groups[-1], max(groups), float("(" in s), float("/" in s), float("." in s), float("-" in s or "‑" in s or "–" in s), float("‑" in s), float(" " in s),
+                float(len(digits) == 10 and digits[0] in "23456789" and groups in ([3, 3, 4], [10])), float(re.match(r"20\d\d[- ]", s) is not None), float(len(digits) in (9, 10, 11, 12, 13)), float(s.count(".") == 3 and len(groups) == 4)]
+    if kind == "id":
+        letters = "".join(c for c in s if c.isalpha())
+        valid = 0.0
+        if form in (0, 1):
+            valid = float(DNI_LETTERS[int(digits) % 23] == letters.upper()[-1:])
+        elif form == 2:
+            number = "XYZ".find(s[0].upper())
+            valid = float(DNI_LETTERS[int(f"{number}{digits}") % 23] == letters.upper()[-1:])
+        elif form == 4:
+            valid = float(digits[0] == "9" or digits[:3] in ("000", "666"))
+        return [form, len(s), len(digits), len(letters), valid, float(letters.isupper()), float(" " in s), float("-" in s), float("." in s), float(letters[:2].upper() in ("QQ", "ZZ", "XX")), float(s[:1].isalpha())]
+    tokens = [w for w in re.findall(r"[\w'’.-]+", s) if w[0].isalpha()]
+    right = re.match(rf"[ ,]+({_TOKEN})", text[b : b + 40])
+    left = re.search(rf"({_TOKEN})[ ]$", text[max(0, a - 40) : a])
+    strange = [vocabulary.per_million(w.lower().split("-")[-1]) for w in tokens if w[0].isupper()]
+    common = [w.lower().rstrip(".") in COMMON for w in tokens if w[0].isupper()]
+    next_common = float(bool(right) and right.group(1).lower().rstrip(".") in COMMON)
+    next_rare = float(bool(right) and not next_common and vocabulary.per_million(right.group(1).lower()) < 1.5)
+    previous_common = float(bool(left) and left.group(1).lower().rstrip(".") in COMMON | TITLES)
+    if kind == "address":
+        last = tokens[-1].lower() if tokens else ""
+        return [form, len(s), len(digits), len(tokens), float(re.search(r"\d{5}", s) is not None), float(bool(right)), next_common, next_rare, float(last in COMMON), vocabulary.per_million(last), float(s[-1].isdigit()), s.count(","), float(text[b : b + 1] in "-"), float(bool(re.match(r" \w+[.:]", text[b : b + 30])))]
+    initials = sum(len(w) <= 3 and w.endswith(".") for w in tokens)
+    full = [w for w in tokens if w[0].isupper() and not w.endswith(".")]
+    first = tokens[0].lower().rstrip(".")
+    return [form, len([w for w in tokens if w[0].isupper()]), initials, len(full), float(tokens[0].endswith(".")), float(any(w[0].islower() for w in tokens)), float(s.isupper()), float(any(common)), float(common[0]), float(common[-1]), max(strange), min(strange), strange[0], strange[-1],
+            float(first in TITLES), float(bool(left)), previous_common, float(bool(right)), next_common, next_rare, min(len(w) for w in full) if full else 0, float("-" in s), float(any(w.lower() in AGAINST for w in tokens)), float(text[b : b + 1] == ","), float(text[b : b + 1] == ":"), float(any(w.isupper() and len(w) > 2 for w in full) and not s.isupper())]
+
+
+def features(kind: str, text: str, a: int, b: int, form: int, vocabulary: Vocabulary) -> list[float]:
+    """The span's own form, then its surroundings on the line: cues before and after, signs around, place on the line."""
+    line_start, line_end = text.rfind("\n", 0, a) + 1, text.find("\n", b)
+    line_end = len(text) if line_end < 0 else line_end
+    before, after = text[max(line_start, a - BEFORE) : a], text[b : min(line_end, b + AFTER)]
+    bw, aw = _words(before)[::-1], _words(after)
+    alone = not any(w[0].isalnum() for w in bw) and not any(w[0].isalnum() for w in aw)
+    earlier = _words(text[max(0, line_start - 40) : max(0, line_start - 1)])[::-1] if not before.strip(" \t#/*-") else []
+    around = [
+        _nearest(bw, _CUE_SETS[kind]), _nearest(aw, _CUE_SETS_AFTER[kind]), _nearest(bw, AGAINST), _nearest(aw, AGAINST), _nearest(earlier, _CUE_SETS[kind]),
+        max(_nearest(bw, _CUE_SETS[k]) for k in KINDS if k != kind), _char_class(text, a - 1), _char_class(text, b), float(a == line_start), float(b == line_end), float(alone), float(before.rstrip(" \t\"'").endswith(("=", ":"))),
+    ]
+    return around + _own_features(kind, text, a, b, form, vocabulary)
+
+
+def candidates(text: str, vocabulary: Vocabulary) -> Iterator[tuple[str, int, int, list[float]]]:
+    for kind in KINDS:
+        seen = set()
+        for a, b, form in GENERATORS[kind](text):
+            if (a, b) not in seen:
+                seen.add((a, b))
+                yield kind, a, b, features(kind, text, a, b, form, vocabulary)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from depweft.llm.handwritten import not_handwritten
+from depweft.llm.pii import personal_data, redacted
 from depweft.session import tables
 
 
@@ -20,7 +21,17 @@ def p3_reasons(spark: SparkSession, d: str) -> DataFrame:
     return not_handwritten(nodes, file_types, documents, library).groupBy("reason").agg(F.count(F.lit(1)).alias("n_files"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_reasons)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    (documents,) = tables(spark, d, "documents")
+    return personal_data(documents)
+
+
+def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
+    (documents,) = tables(spark, d, "documents")
+    return redacted(documents)
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_reasons, p8_found, p8_redacted)}
 SQL: dict[str, str] = {}
 
 
