@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from depweft.llm.handwritten import not_handwritten
+from depweft.llm.mixing import mixture, shares_report
+from depweft.llm.packing import containers, fill_report
 from depweft.llm.pii import personal_data, redacted
 from depweft.session import tables
 
@@ -21,6 +23,26 @@ def p3_reasons(spark: SparkSession, d: str) -> DataFrame:
     return not_handwritten(nodes, file_types, documents, library).groupBy("reason").agg(F.count(F.lit(1)).alias("n_files"))
 
 
+def p6_containers(spark: SparkSession, d: str) -> DataFrame:
+    documents, pack_sizes = tables(spark, d, "documents", "pack_sizes")
+    return containers(documents, pack_sizes)
+
+
+def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    documents, pack_sizes = tables(spark, d, "documents", "pack_sizes")
+    return fill_report(containers(documents, pack_sizes), pack_sizes)
+
+
+def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
+    documents, mix_weights = tables(spark, d, "documents", "mix_weights")
+    return mixture(documents, mix_weights)
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    documents, mix_weights = tables(spark, d, "documents", "mix_weights")
+    return shares_report(mixture(documents, mix_weights), mix_weights)
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     (documents,) = tables(spark, d, "documents")
     return personal_data(documents)
@@ -31,7 +53,7 @@ def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
     return redacted(documents)
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_reasons, p8_found, p8_redacted)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_reasons, p6_containers, p6_fill, p7_mixture, p7_shares, p8_found, p8_redacted)}
 SQL: dict[str, str] = {}
 
 
