@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from depweft.plans import core_problems
+from depweft.plans import core_problems, graph_queries
 
-MODULES = [core_problems]
+MODULES = [core_problems, graph_queries]
 
 
 def queries() -> dict:
