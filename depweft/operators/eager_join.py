@@ -41,7 +41,7 @@ def eager_join_rollup(
     """`SELECT groups, count(*), sum(...) FROM left JOIN right ON key GROUP BY groups` without joining rows.
 
     how: inner or left. by_key: name under which the join key itself is a group column. Null keys join nothing; with how
-    = left their rows count once, as in SQL. Empty inputs give an empty result. Sums skip nulls and are null where no
+    = left their rows count once, as in SQL. Empty inputs give an empty result, without any group the one row that SQL gives. Sums skip nulls and are null where no
     value exists. Group columns of both sides must bear different names; other columns may clash, they are dropped first.
     """
     if how not in ("inner", "left"):
@@ -55,7 +55,7 @@ def eager_join_rollup(
     joined = a.join(b, KEY, how)
     other = F.coalesce(F.col(RN), F.lit(1)) if how == "left" else F.col(RN)
     grouped = joined.groupBy(*([F.col(KEY).alias(by_key)] if by_key else []), *lg, *rg)
-    aggs = [F.sum(F.col(LN) * other).cast("bigint").alias(count)]
+    aggs = [F.coalesce(F.sum(F.col(LN) * other), F.lit(0)).cast("bigint").alias(count)]
     aggs += [F.sum(F.col(f"__s_{n}") * other).alias(n) for n in ls]
     aggs += [F.sum(F.col(f"__s_{n}") * F.col(LN)).alias(n) for n in rs]
     return grouped.agg(*aggs)

@@ -14,9 +14,10 @@ from depweft.session import cut
 BLOCK = "__block"
 
 
-def ordered_blocks(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """df with its block, written once, so that every use sees the same blocks."""
-    return cut(df.repartitionByRange(*keys, *order).withColumn(BLOCK, F.spark_partition_id()))
+def ordered_blocks(df: DataFrame, keys: list[str], order: list[str], blocks: int | None = None) -> DataFrame:
+    """df with its block, written once, so that every use sees the same blocks. Their number follows the data's size unless given."""
+    number = [blocks] if blocks else []
+    return cut(df.repartitionByRange(*number, *keys, *order).withColumn(BLOCK, F.spark_partition_id()))
 
 
 def last_before(blocked: DataFrame, keys: list[str], order: list[str], value: Column, name: str) -> DataFrame:
