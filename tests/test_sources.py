@@ -1,0 +1,135 @@
+from __future__ import annotations
+
+import hashlib
+import os
+import subprocess
+
+import pytest
+from pyspark.sql import functions as F
+
+from depweft.sources import git
+from depweft.sources.binaries import binary_references, libraries
+from depweft.sources.containers import encryption_reasons, iso_edges, iso_files, safe_member, zip_edges, zip_members, zip_outcome
+from depweft.sources.tree import read_tree
+
+from .samples import archive, elf, iso, macho, pe, zipcrypto
+
+FILES = "path string, content binary"
+
+
+def test_tree_reads_hidden_names_and_marks_skipped_folders(spark, tmp_path):
+    for name, body in {"_x.py": "1", ".env": "2", "a/.b/c.txt": "3", "node_modules/m/i.js": "4", "empty": ""}.items():
+        p = tmp_path / "t" / name
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_text(body)
+    (tmp_path / "outside").write_text("no")
+    os.symlink(tmp_path / "outside", tmp_path / "t" / "link")
+    rows = {r["path"]: r for r in read_tree(spark, str(tmp_path / "t"), filesPerPartition="2", maxContent="0").collect()}
+    assert set(rows) == {"_x.py", ".env", "a/.b/c.txt", "node_modules/m/i.js", "empty"}
+    assert not rows["node_modules/m/i.js"]["seeded"] and rows["a/.b/c.txt"]["seeded"]
+    assert rows["_x.py"]["digest"] == hashlib.sha256(b"1").hexdigest() and rows["_x.py"]["content"] is None and bytes(rows["empty"]["content"]) == b""
+
+
+def test_libraries():
+    names = ["libc.so.6", "libm.so.6"]
+    for wide in (True, False):
+        for order in "<>":
+            assert libraries(elf(names, wide, order)) == [(n, "declared") for n in names]
+    assert libraries(pe(["KERNEL32.dll", "USER32.dll"])) == [("KERNEL32.dll", "declared"), ("USER32.dll", "declared")]
+    assert libraries(macho(["/usr/lib/libSystem.B.dylib"])) == [("/usr/lib/libSystem.B.dylib", "declared")]
+    assert libraries(b"xx USER32.dll yy libz.so.1 USER32.dll") == [("USER32.dll", "heuristic"), ("libz.so.1", "heuristic")]
+    whole = elf(names)
+    for cut in range(0, len(whole), 7):
+        libraries(whole[:cut])
+        libraries(pe(names)[:cut])
+        libraries(macho(names)[:cut])
+    assert libraries(b"") == []
+
+
+def test_binary_references(spark):
+    files = spark.createDataFrame([("a", elf(["l.so"])), ("b.dll", b"needs USER32.dll"), ("c.txt", b"USER32.dll"), ("d.exe", None), ("e.so", b"")], FILES)
+    assert {tuple(r)[:2] for r in binary_references(files).collect()} == {("a", "l.so"), ("b.dll", "USER32.dll")}
+
+
+def test_iso(spark):
+    image = iso({"A.TXT": b"hello", "SRC/M.PY": b"import os\nfrom sys import x\n", "SRC/EMPTY": b""})
+    files = spark.createDataFrame([("d/x.iso", image), ("bad.iso", b"nothing"), ("none.iso", None)], FILES)
+    rows = {(r["path"], r["inner"]): r for r in iso_files(files).collect()}
+    assert set(rows) == {("d/x.iso", ""), ("d/x.iso", "A.TXT"), ("d/x.iso", "SRC"), ("d/x.iso", "SRC/M.PY"), ("d/x.iso", "SRC/EMPTY"), ("bad.iso", None)}
+    assert rows["d/x.iso", "A.TXT"]["digest"] == hashlib.sha256(b"hello").hexdigest() and rows["bad.iso", None]["error"]
+    edges = {tuple(r)[:3] for r in iso_edges(files).collect()}
+    assert ("file:d/x.iso", "iso:d/x.iso!/", "iso-root") in edges and ("iso:d/x.iso!/SRC", "iso:d/x.iso!/SRC/M.PY", "contains") in edges
+    assert ("iso:d/x.iso!/SRC/M.PY", "external:iso-module:os", "iso-import") in edges and ("iso:d/x.iso!/SRC/M.PY", "external:iso-module:sys", "iso-import") in edges
+
+
+def test_zip(spark):
+    plain = archive({"pkg/main.py": "import util\nfrom . import util\nimport numpy\n", "pkg/util.py": "", "../evil": "x", "web/a.js": "import('./b'); require('react')", "web/b.ts": ""})
+    locked = zipcrypto(b"import os\n", "m.py", b"open sesame")
+    files = spark.createDataFrame([("p.zip", plain), ("l.zip", locked), ("bad.zip", b"PK\x03\x04 no"), ("none.zip", None)], FILES)
+    rows = zip_members(files)
+    by = {(r["path"], r["member"]): r for r in rows.collect()}
+    assert by["p.zip", "pkg/util.py"]["digest"] == hashlib.sha256(b"").hexdigest() and by["p.zip", "../evil"]["status"] == "skipped"
+    assert by["l.zip", "m.py"]["status"] == "encrypted" and by["bad.zip", None]["status"] == "failed"
+    edges = {tuple(r) for r in zip_edges(rows).collect()}
+    assert ("zip:p.zip!/pkg/main.py", "zip:p.zip!/pkg/util.py", "python-import", "declared") in edges
+    assert ("zip:p.zip!/pkg/main.py", "external:zip-package:numpy", "python-import", "declared") in edges
+    assert ("zip:p.zip!/web/a.js", "zip:p.zip!/web/b.ts", "js-import", "declared") in edges and ("zip:p.zip!/web/a.js", "external:zip-package:react", "js-import", "declared") in edges
+    assert ("file:l.zip", "zip:l.zip!/m.py", "contains", "declared") in edges
+    opened = {(r["path"], r["member"]): r for r in zip_members(files, "open sesame").collect()}
+    assert opened["l.zip", "m.py"]["status"] == "done" and opened["l.zip", "m.py"]["digest"] == hashlib.sha256(b"import os\n").hexdigest()
+    assert {r["path"]: r["status"] for r in zip_outcome(rows).collect()} == {"p.zip": "encrypted", "l.zip": "encrypted", "bad.zip": "failed"}
+    assert zip_members(files, "secret-word")._jdf.queryExecution().toString().find("secret-word") < 0
+
+
+@pytest.mark.parametrize(("name", "safe"), [("a/b", "a/b"), ("/a", None), ("a/../b", None), ("c:/x", None), ("a\\b", None), ("", None), ("a//b", None)])
+def test_member_names(name, safe):
+    assert safe_member(name) == safe
+
+
+def test_encryption(spark):
+    rows = [("o", b"Salted__abc"), ("g", b"\0GITCRYPT\0x"), ("a", b"age-encryption.org/v1\n-> x"), ("p", b"%PDF-1.7 ... /Encrypt 5 0 R"), ("q", b"%PDF-1.7 plain"), ("z", zipcrypto(b"x", "n", b"p")), ("y", archive({"n": "x"})), ("w", bytes.fromhex("d0cf11e0a1b11ae1") + "EncryptedPackage".encode("utf-16le")), ("t", b"print(1)"), ("n", None), ("m", b"-----BEGIN PGP MESSAGE-----\n")]
+    got = {r["path"]: r["reason"] for r in encryption_reasons(spark.createDataFrame(rows, FILES)).collect()}
+    assert set(got) == {"o", "g", "a", "p", "z", "w", "m"} and got["z"] == "ZIP container with 1 password-protected entries"
+
+
+def test_blame_and_log(spark):
+    sha, zero = "a" * 40, "0" * 40
+    text = f"{sha} 1 1 2\nauthor Ana\nauthor-time 1700000000\nsummary first\n\tline one\n{sha} 2 2\nauthor Ana\nauthor-time 1700000000\nsummary first\n\tauthor of it\n{zero} 3 3 1\nauthor Not Committed Yet\nauthor-time x\nsummary s\n\tnew"
+    lines = spark.createDataFrame([("f", i, t) for i, t in enumerate(text.split("\n"))], "path string, n int, line string")
+    got = [(r["line"], r["text"], r["sha"], r["author"], r["date_unix"], r["uncommitted"]) for r in git.blame_lines(lines).orderBy("line").collect()]
+    assert got == [(1, "line one", sha, "Ana", 1700000000, False), (2, "author of it", sha, "Ana", 1700000000, False), (3, "new", None, None, None, True)]
+    log = spark.createDataFrame([("f", "\x1f".join([sha, "Ana", "a@x.test", "2026-01-01", "Bo", "2026-01-02", "msg \x1f more"])), ("g", "broken")], "path string, line string")
+    assert [(r["sha"], r["message"]) for r in git.log_records(log).collect()] == [(sha, "msg \x1f more")]
+
+
+def test_ranges_and_deployments(spark):
+    ranges = spark.createDataFrame([("f", 1, 12, "a"), ("f", 13, 60, "b"), ("g", 1, 5, "c")], "path string, start int, end int, sha string")
+    want = spark.createDataFrame([("f", 10, 25)], "path string, want_start int, want_end int")
+    assert {(r["start"], r["end"], r["sha"]) for r in git.clipped_ranges(ranges, want, "path").collect()} == {(10, 12, "a"), (13, 25, "b")}
+    pairs = [("https://a.example/app/x", "https://a.example/app", True), ("https://A.example/app", "https://a.example/app/", True), ("https://a.example/apple", "https://a.example/app", False), ("http://a.example/app", "https://a.example/app", False), ("https://b.example/", "https://a.example/", False), ("https://a.example:8443/", "https://a.example", False), ("https://a.example/q?x=/app", "https://a.example/app", False)]
+    out = spark.createDataFrame(pairs, "o string, e string, w boolean").select(git.same_deployment(F.col("o"), F.col("e")).alias("g"), "w").collect()
+    assert all(r["g"] == r["w"] for r in out)
+    pages = spark.createDataFrame([("https://a.example/app/x",)], "url string")
+    made = spark.createDataFrame([(i, "b" * 40, "https://a.example/app", "success" if i else "failure", f"2026-01-0{i + 1}") for i in range(6)], "deployment_id int, sha string, environment_url string, state string, created_at string")
+    assert [r["deployment_id"] for r in git.deployments_of(pages, made).orderBy("rank").collect()] == [5, 4, 3]
+
+
+def test_names_and_remotes(spark):
+    remotes = {"git@github.com:o/r.git": "https://github.com/o/r", "ssh://git@github.com/o/r": "https://github.com/o/r", "https://github.com/o/r/": "https://github.com/o/r", "https://u:p@github.com/o/r": None, "https://x.example/o/r": None, "https://github.com/o": None}
+    assert {r["u"]: r["p"] for r in spark.createDataFrame([(u,) for u in remotes], "u string").select("u", git.remote_page(F.col("u")).alias("p")).collect()} == remotes
+    names = [("o/r", True), ("o", False), ("../r", False), ("o/r/x", False)]
+    assert all(r[0] == r[1] for r in spark.createDataFrame(names, "n string, w boolean").select(git.valid_repository(F.col("n")), "w").collect())
+    refs = [("main", True), ("-x", False), ("a..b", True), ("a/../b", False), ("a//b", False), ("v1.0+x", True)]
+    assert all(r[0] == r[1] for r in spark.createDataFrame(refs, "n string, w boolean").select(git.valid_revision(F.col("n")), "w").collect())
+    paths = [("a/b.py", True), ("/a", False), ("a/../b", False), ("a\\b", False), ("", False), ("a\tb", False)]
+    assert all(r[0] == r[1] for r in spark.createDataFrame(paths, "n string, w boolean").select(git.valid_path(F.col("n")), "w").collect())
+
+
+def test_tracked_files(spark, tmp_path):
+    env = os.environ | {"GIT_CONFIG_GLOBAL": "/dev/null"}
+    (tmp_path / "a.py").write_text("1")
+    (tmp_path / "dist").mkdir()
+    (tmp_path / "dist/b.js").write_text("1")
+    subprocess.run(["git", "init", "-q", str(tmp_path)], check=True, env=env)
+    subprocess.run(["git", "-C", str(tmp_path), "add", "-A"], check=True, env=env)
+    assert [r["path"] for r in git.tracked_files(spark, str(tmp_path)).collect()] == ["a.py"]
