@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from depweft.session import spread
+
 #: Folder of the tokenizer files; every function that counts takes another as a parameter.
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -120,4 +122,4 @@ def measured(documents: DataFrame, columns: list[str], folder: str = TOKENIZERS,
             yield out
 
     prepared = documents.select(*columns, F.md5("text").alias("text_hash"), F.col("text").alias("__text"))
-    return prepared.mapInPandas(measure, f"{kept}, text_hash string, n_tokens bigint, curve bigint, topic int")
+    return spread(prepared).mapInPandas(measure, f"{kept}, text_hash string, n_tokens bigint, curve bigint, topic int")

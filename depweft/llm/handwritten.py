@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from depweft.llm.lexing import layout
+from depweft.session import spread
 
 #: Lines of the canonical layout per line of the file, from which on it counts as shrunk.
 EXPANSION = 8.0
@@ -119,6 +120,7 @@ def judged_texts(documents: DataFrame, library: DataFrame) -> DataFrame:
     """Per node_key the verdicts on its text; of several texts the one added last counts. Null and blank texts are no text."""
     spark = documents.sparkSession
     texts = documents.where(F.col("node_key").isNotNull() & F.col("text").isNotNull() & (F.trim("text") != "")).select("node_key", "text", "added_at", "doc_id")
+    texts = spread(texts)
     out = None
     for block in library_blocks(library):
         shared = spark.sparkContext.broadcast(block)
