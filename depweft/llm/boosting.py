@@ -78,15 +78,26 @@ def _grow(bins: np.ndarray, cuts: list[np.ndarray], g: np.ndarray, h: np.ndarray
 
 
 def _platt(score: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Scale and shift of a logistic curve through the scores, by Newton's method with halved steps. Labels are smoothed by the counts
+    of either class, so that classes which are wholly apart have a finite solution."""
+    n1, n0 = y.sum(), len(y) - y.sum()
+    target = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
+
+    def loss(a: float, b: float) -> float:
+        z = a * score + b
+        return float((np.logaddexp(0, z) - target * z).sum())
+
     a, b = 1.0, 0.0
-    for _ in range(200):
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(a * score + b, -40, 40)))
-        w = p * (1 - p) + 1e-6
-        g = np.array([((p - y) * score).sum() + 1e-3 * (a - 1), (p - y).sum()])
-        m = np.array([[(w * score * score).sum() + 1e-3, (w * score).sum()], [(w * score).sum(), w.sum()]])
-        step = np.linalg.solve(m + 1e-9 * np.eye(2), g)
-        a, b = a - step[0], b - step[1]
-        if np.abs(step).max() < 1e-6:
+        w = np.maximum(p * (1 - p), 1e-9)
+        g = np.array([((p - target) * score).sum(), (p - target).sum()])
+        m = np.array([[(w * score * score).sum(), (w * score).sum()], [(w * score).sum(), w.sum()]]) + 1e-6 * np.eye(2)
+        step, size, now = np.linalg.solve(m, g), 1.0, loss(a, b)
+        while size > 1e-6 and loss(a - size * step[0], b - size * step[1]) > now:
+            size /= 2
+        a, b = a - size * step[0], b - size * step[1]
+        if np.abs(size * step).max() < 1e-6:
             break
     return float(a), float(b)
 

@@ -7,18 +7,19 @@ outweighs what lies in it.
 
 from __future__ import annotations
 
+import pickle
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from depweft.llm.boosting import Boosted, fit
 from depweft.llm.pii_samples import samples
 from depweft.llm.pii_spans import _LOWER, COMMON, KINDS, TABLE_BITS, Vocabulary, candidates, slots
+from depweft.session import spread
 
 #: Labelled texts that the model is fitted on, and every how many of them is held for calibration.
 TRAINING_TEXTS, HELD_EVERY = 16000, 4
@@ -36,21 +37,37 @@ class SampleVocabulary(Vocabulary):
         return 3.0 + 5.0 * chance if word in self.topics or word in COMMON else max(0.0, 6.0 * chance - 3.5)
 
 
-def labelled(n: int, seed: int) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def labelled(n: int, seed: int, kinds: tuple[str, ...] = KINDS) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Per kind the features, labels and text numbers of the candidates in n made-up texts."""
     texts, topics = samples(n, seed)
     vocabulary = SampleVocabulary(topics)
-    rows: dict[str, list] = {k: [] for k in KINDS}
+    rows: dict[str, list] = {k: [] for k in kinds}
     for i, (text, spans) in enumerate(texts):
         true = set(spans)
-        for kind, a, b, f in candidates(text, vocabulary):
+        for kind, a, b, f in candidates(text, vocabulary, kinds):
             rows[kind].append((f, (kind, a, b) in true, i))
     return {k: (np.array([r[0] for r in v], float), np.array([r[1] for r in v]), np.array([r[2] for r in v])) for k, v in rows.items()}
 
 
-@lru_cache(maxsize=4)
-def models(n: int = TRAINING_TEXTS, seed: int = 7) -> dict[str, Boosted]:
-    return {k: fit(x, y, t % HELD_EVERY == 0) for k, (x, y, t) in labelled(n, seed).items()}
+def fitted(kind: str, n: int = TRAINING_TEXTS, seed: int = 7) -> Boosted:
+    x, y, t = labelled(n, seed, (kind,))[kind]
+    return fit(x, y, t % HELD_EVERY == 0)
+
+
+_FITTED: dict[tuple[int, int], dict[str, Boosted]] = {}
+
+
+def models(spark: SparkSession, n: int = TRAINING_TEXTS, seed: int = 7) -> dict[str, Boosted]:
+    """The model of each kind, each fitted by a task of its own; kept for the life of the process."""
+    if (n, seed) not in _FITTED:
+
+        def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                yield pd.DataFrame({"kind": b["kind"], "model": [pickle.dumps(fitted(k, n, seed)) for k in b["kind"]]})
+
+        kinds = spark.sparkContext.parallelize([(k,) for k in KINDS], len(KINDS)).toDF("kind string")
+        _FITTED[n, seed] = {r["kind"]: pickle.loads(r["model"]) for r in kinds.mapInPandas(work, "kind string, model binary").collect()}
+    return _FITTED[n, seed]
 
 
 def vocabulary_counts(texts: DataFrame) -> Vocabulary:
@@ -98,7 +115,7 @@ def find(texts: list[str], by_kind: dict[str, Boosted], vocabulary: Vocabulary)
 
 
 def _with_text(documents: DataFrame) -> DataFrame:
-    return documents.where(F.col("text").isNotNull() & (F.col("text") != "")).select("doc_id", "text")
+    return spread(documents.where(F.col("text").isNotNull() & (F.col("text") != "")).select("doc_id", "text"))
 
 
 def personal_data(documents: DataFrame) -> DataFrame:
@@ -107,7 +124,8 @@ def personal_data(documents: DataFrame) -> DataFrame:
     Null and empty texts have none; a text is read whole, whatever its length; repeated texts and items come out for each doc_id.
     """
     texts = _with_text(documents)
-    shared = documents.sparkSession.sparkContext.broadcast((models(), vocabulary_counts(texts)))
+    spark = documents.sparkSession
+    shared = spark.sparkContext.broadcast((models(spark), vocabulary_counts(texts)))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         by_kind, vocabulary = shared.value
@@ -129,7 +147,8 @@ def redact(text: str, spans: list[tuple[str, int, int, float]]) -> str:
 
 def redacted(documents: DataFrame) -> DataFrame:
     """doc_id, text, n_items for every document; null texts stay null, empty ones empty."""
-    shared = documents.sparkSession.sparkContext.broadcast((models(), vocabulary_counts(_with_text(documents))))
+    spark = documents.sparkSession
+    shared = spark.sparkContext.broadcast((models(spark), vocabulary_counts(_with_text(documents))))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         by_kind, vocabulary = shared.value
@@ -138,4 +157,4 @@ def redacted(documents: DataFrame) -> DataFrame:
             texts = [None if t is None else redact(t, s) for t, s in zip(b["text"], found)]
             yield pd.DataFrame({"doc_id": b["doc_id"], "text": pd.Series(texts, dtype=object, index=b.index), "n_items": [len(s) for s in found]})
 
-    return documents.select("doc_id", "text").mapInPandas(scan, "doc_id bigint, text string, n_items int")
+    return spread(documents.select("doc_id", "text")).mapInPandas(scan, "doc_id bigint, text string, n_items int")

@@ -18,7 +18,7 @@ _PLAIN = (
 
 _CARRIERS = {
     "name": [
-        "Reported by {x}.", "Thanks to {x} for the patch.", "Ask {x} before you touch this.", "Contact: {x}", "Contacto: {x}", "Reviewed-by: {x}", "Signed-off-by: {x}", 'author = "{x}"', "owner: {x}", "Según {x}, el dato estaba vacío.", "According to {x} it works.", "la señora {x} pidió otra copia",
+        "Reported by {x}.", "Thanks to {x} for the patch.", "Ask {x} before you touch this.", "Contact: {x}", "Contacto: {x}", "Reviewed-by: {x}", "Signed-off-by: {x}", 'author = "{x}"', "owner: {x}", "Según {x}, el dato estaba vacío.", "According to {x} it works.", "According to {x} the {t} was fine.", "{x} said that the {t} is {t}.", "la señora {x} pidió otra copia",
         "el señor {x} llamó ayer", "Merci à {x} pour la relecture.", "Danke an {x} für den Hinweis.", "{x} wrote:", "{x} asked for the numbers again.", "{x}", "Saludos,\n{x}", "Regards,\n{x}", "Best regards, {x}", "Mr. {x} called twice.", "Dr. {x} signed the form.", "Frau {x} hat geschrieben.", "Gracias a {x} por avisar.",
         "Selon {x}, tout va bien.", "We met {x} at the office.", "assigned to {x} yesterday", "(by {x}, last week)", "Dear {x}, thanks for waiting.", "<td>{x}</td>", "{x} has left the group", "Call {x} after six.", "Hola {x}, ya está hecho.", "The log of {x} was sent.", "Laut {x} ist alles fertig.",
     ],
@@ -27,12 +27,13 @@ _CARRIERS = {
     "id": ["DNI: {x}", "NIF {x}", "con DNI {x}, según el alta", "NIE {x}", "su NIE es {x}", "national_id = '{x}'", "id card: {x}", "Identity document {x} was uploaded by mistake.", "The form shows SSN {x}.", "ssn={x}", "social security no. {x}", "insurance number {x} on file", "NI no. {x}", "Pasaporte {x}", "passport no. {x}", "{x} is the number on the card", "su documento es {x}", "{x}", "Ausweis {x}", "numéro de sécurité sociale {x}", "residence permit {x}", "tax id {x}", "Steuernummer: {x}"],
     "address": ["Our office moved to {x}.", "I live at {x}, ground door.", "Ship the unit to {x}.", "Dirección: {x}", "adresse : {x}", "Treffpunkt ist {x}.", 'deliver_to = "{x}"', "{x}", "vivo en {x}", "Anschrift: {x}", "send it to {x} please", "Address: {x}", "({x})", "j'habite {x}"],
 }
+_LEADS = ["", "", "", "", "# ", "// ", "- ", "* ", "<p>", "[10:22] dev> ", "/* ", "<!-- ", "Summary: ", "+    ", '    """']
 _LITTLE = "the a was is in on for and again today el la está en de por fue para le est dans pour der das ist war mit".split()
 _FALSE = [
     "Release {T} {T} replaces {T} {T}.", "The {F} index and the {F} rule are explained in the guide.", "{T} Sort and {T} Search stay in folder/report.", "{T} {T} and {T} {T} stay in {t}.", "{T} Search finds it.", "{T} Index of {T} Table", "Figure {n}: {T} Street View layout of the page", "Our {T} Guide is out.", "{F} wrote:", "Ask {F} about it.", "## {T} the {t}", "{T} {t}", "class {T} extends {T}", "Guten Tag,", "Good morning,", "Buenos días,", "{T} {T} Report", "Welcome to {T} {T}",
-    "git clone git@code.host:{t}/{t}.git", "Pinned {t}@{n}.{n}.{n} in the manifest.", "Use {t}_{t}@2x.png for dense screens.", "@{t} and @{t} decorate {t}", "npm install {t}@^{n}.0.0", "meet at {t} or {t}", "look at file dot json",
+    "git clone git@{D}:{t}/{t}.git", "git remote add origin git@{D}:{t}/{t}.git", "ssh {t}@{D}:22/{t}", "Pinned {t}@{n}.{n}.{n} in the manifest.", "Use {t}_{t}@2x.png for dense screens.", "@{t} and @{t} decorate {t}", "npm install {t}@^{n}.0.0", "meet at {t} or {t}", "look at file dot json",
     "job +{n} {d3} {d7} restarted", "job +{n} {d3} {d6} restarted", "Order {d3} {d3} {d4} of the list.", "Order {d2} {d3} {d4} of the list.", "Order {d3} {d2} {d4} of the list", "Ticket 2026-{d3}-{d4} is closed.", "Build {d3}-{d2}-{d3} failed at the step", "Checked at 2026-0{d1}-1{d1} 1{d1}:3{d1}:2{d1}, {d6} rows.", "listening on 0.0.0.0:{d4} with timeout {d2}-{d2}-{d3}", "timeout {d2}-{d2}-{d3}", "Lote {d3} {d3} {d4} recibido",
-    "Part no. {d8}{L} is out of stock.", "serial ZZ-{d5}-{d2} of the unit", "batch {d3}-{d2}-{d4} of the rows", "batch 9{d2}-{d2}-{d4} of the rows", "part number {L}{L}{d7}", "Pieza {d8}{L} agotada", "invoice {L}{L}{d6}", "sku {d8}-{L}", "request id {h8}-{h4}-{h4}-{h4}-{h8}{h4}", "digest {h8}{h8}", "commit {h8}", "{d2}.{d6}, {d2}.{d6}, {d2}.{d6},", "0x{h8}, 0x{h8}", "The buffer starts at address 0x{h8}, page {n}.", "version {n}.{n}.{n}.{n}", "1{d9}", "rows {d7}",
+    "Part no. {d8}{L} is out of stock.", "serial ZZ-{d5}-{d2} of the unit", "batch {d3}-{d2}-{d4} of the rows", "batch 9{d2}-{d2}-{d4} of the rows", "part number {L}{L}{d7}", "Pieza {d8}{L} agotada", "invoice {L}{L}{d6}", "sku {d8}-{L}", "request id {h8}-{h4}-{h4}-{h4}-{h8}{h4}", "digest {h8}{h8}", "the digest {d9}{d3} belongs to the {t}", "la huella {d9}{d3} del archivo", "hash {d9}{d3}", "l'empreinte {d9}{d3} du fichier", "commit {h8}", "{d2}.{d6}, {d2}.{d6}, {d2}.{d6},", "0x{h8}, 0x{h8}", "The buffer starts at address 0x{h8}, page {n}.", "version {n}.{n}.{n}.{n}", "1{d9}", "rows {d7}",
     "path /srv/{t}/{n}/report.log", "See page {n} of the {t} guide.", "DO NOT EDIT.", "All rights reserved. Copyright 2026 the {t} team.", "AUTO-GENERATED FILE - regenerate with `make {t}`", "Room {n} Main Street View", "{n} {T} Street is a chapter of the guide", "serie {d8}{L} del lote",
 ]
 
@@ -70,11 +71,15 @@ class Maker:
             return f"{family}, {given}"
         return f"{given} {family}".upper() if k < 0.45 else f"{given} {family}"
 
+    def domain(self) -> str:
+        r = self.r
+        return r.choice(["example.com", "example.org", "mail.example", "lab.test", "dept.example.net", "post.invalid", f"{r.choice(self.topics)}.test", f"{r.choice(self.topics)}.example"])
+
     def email(self) -> str:
         r = self.r
         a, b = self._word().lower(), self._word().lower()
         local = r.choice([f"{a}.{b}", f"{a}-{b}", f"{a[0]}{b}", f"{b}_{a[:2]}", f"{a}{r.randint(1, 99)}", a, f"{a}.{b}+{r.choice(self.topics)}"])
-        domain = r.choice(["example.com", "example.org", "mail.example", "lab.test", "dept.example.net", "post.invalid", f"{r.choice(self.topics)}.test"])
+        domain = self.domain()
         plain = f"{local}@{domain}"
         if r.random() < 0.15:
             plain = plain.title()
@@ -126,7 +131,7 @@ class Maker:
     def false(self) -> str:
         r, out = self.r, r_choice(self.r, _FALSE)
         for mark, make in (
-            ("{T}", lambda: r.choice(self.topics).capitalize()), ("{t}", lambda: r.choice(self.topics)), ("{F}", self._word), ("{n}", lambda: str(r.randint(0, 97))), ("{L}", lambda: r.choice("ABCDEFGHJKLMNPQRSTVWXYZ")),
+            ("{T}", lambda: r.choice(self.topics).capitalize()), ("{t}", lambda: r.choice(self.topics)), ("{F}", self._word), ("{D}", self.domain), ("{n}", lambda: str(r.randint(0, 97))), ("{L}", lambda: r.choice("ABCDEFGHJKLMNPQRSTVWXYZ")),
             *((f"{{d{k}}}", lambda k=k: self.digits(k)) for k in range(1, 10)), *((f"{{h{k}}}", lambda k=k: "".join(r.choice("0123456789abcdef") for _ in range(k))) for k in (4, 8)),
         ):
             while mark in out:
@@ -151,17 +156,21 @@ class Maker:
             k = r.random()
             if k < 0.5:
                 kind = r.choice(("name", "name", "email", "phone", "id", "address"))
-                before, after = r_choice(r, _CARRIERS[kind]).split("{x}")
+                carrier = r_choice(r, _CARRIERS[kind])
+                while "{t}" in carrier:
+                    carrier = carrier.replace("{t}", r.choice(self.topics), 1)
+                before, after = carrier.split("{x}")
                 value = getattr(self, kind)()
                 if after[:1] in (".", "") and r.random() < 0.3:
                     after = self.tail() + after
                 if r.random() < 0.12:
-                    after += " " + r_choice(r, _CARRIERS[r.choice(("email", "phone", "id", "address", "name"))]).split("{x}")[0]
-                lead = r.choice(["", "", "", "# ", "// ", "- ", self.plain() + " "])
+                    # The first word of another carrier, as where two notes stand on one line.
+                    after += " " + r_choice(r, _CARRIERS[r.choice(("email", "phone", "id", "address", "name"))]).split(" ")[0].split("{x}")[0] + "\n"
+                lead = r.choice(_LEADS) if r.random() < 0.8 else self.plain() + " "
                 spans.append((kind, len(parts) + len(lead) + len(before), len(parts) + len(lead) + len(before) + len(value)))
                 parts += lead + before + value + after
             else:
-                parts += self.false() if k < 0.85 else self.plain()
+                parts += r.choice(_LEADS) + (self.false() if k < 0.82 else self.plain())
             parts += r.choice(["\n", "\n", " ", "\n\n"])
         return parts, spans
 

@@ -57,7 +57,11 @@ DNI_LETTERS = "TRWAGMYFPDXBNJZSQVHLCKE"
 _AT = r"(?:\s?[\[({<]\s?(?:at|arroba|ät|chez|AT|@)\s?[\])}>]\s?|[ ](?:at|AT|arroba)[ ]|[ ]@[ ])"
 _DOT = r"(?:\s?[\[({<]\s?(?:dot|punto|point|punkt|DOT|\.)\s?[\])}>]\s?|[ ](?:dot|DOT|punto|point|punkt)[ ])"
 _PLAIN_MAIL = re.compile(r"(?<![\w.+%@/-])[\w%+][\w.%+'-]{0,63}@[\w-]+(?:\.[\w-]+)+")
-_VEILED_MAIL = re.compile(rf"(?<![\w.+%@/-])[\w%+][\w%+-]*(?:(?:\.|{_DOT})[\w%+-]+)*{_AT}[\w-]+(?:(?:\.|{_DOT})[\w-]+)+")
+_VEIL = re.compile(rf"{_AT}(?=[\w-]+(?:\.|{_DOT})[\w-])")
+_VEILED_LOCAL = re.compile(rf"(?:^|(?<=[^\w.+%@/-]))[\w%+][\w%+-]*(?:(?:\.|{_DOT})[\w%+-]+)*$")
+_VEILED_DOMAIN = re.compile(rf"[\w-]+(?:(?:\.|{_DOT})[\w-]+)+")
+#: Characters before the sign that are looked at for the first part of an address; no first part may be longer than 64.
+LOCAL_CHARS = 120
 _GAP = "   "
 _PHONE = re.compile(rf"(?<![\w.+/#@:-])(?<!\d[{_GAP}])(?:\+\d|00\d|\(\+?\d|\d)[\d{_GAP}().\-/‐-–]{{4,22}}\d(?![\w@]|[-/.:]\w)")
 _IDS = [
@@ -68,7 +72,7 @@ _IDS = [
     (4, re.compile(r"(?<![\w.-])\d{3}[- ]\d{2}[- ]\d{4}(?![\w-])")),
     (5, re.compile(r"(?<![\w.-])[A-Z]{1,3} ?\d{6,9}(?![\w-])")),
     (6, re.compile(r"(?<![\w.+-])[12] ?\d{2} ?\d{2} ?\d{2} ?\d{3} ?\d{3}(?: ?\d{2})?(?![\w-])")),
-    (7, re.compile(r"(?<![\w.+-])\d{2} ?\d{3} ?\d{3} ?\d{3}(?![\w-])|(?<![\w.+-])\d{9}(?![\w-])|(?<![\w.-])(?=[A-Z0-9]{9,10}(?![\w-]))[A-Z]\w*\d\w*")),
+    (7, re.compile(r"(?<![\w.+-])\d{2} ?\d{3} ?\d{3} ?\d{3}(?![\w-])|(?<![\w.+-])\d{9}(?![\w-])")),
 ]
 _U = "A-ZÀ-ÖØ-ÞŁŚŠŽ"
 _L = "a-zß-öø-ÿœłśšž"
@@ -96,6 +100,14 @@ _ADDRESSES = [
     (4, rf"{_BOX}[ ](?:n\.?º[ ]?)?\d{{1,6}}"),
 ]
 _END = re.compile(rf",?[ ](?:{_ZIP},?[ ])?(?P<town>{_TOWN})(?:,?[ ](?P<zip>{_ZIP})(?!\w))?|,?[ ](?P<only>{_ZIP})(?!\w)")
+# Per form, what a text with such an address holds; a text with none of it need not be looked through.
+_HINTS = [
+    [f" {w}" for w in ("St,", "St ", "St.", "Street", "Rd", "Road", "Ln", "Lane", "Ave", "Close", "Drive", "Dr", "Court", "Ct", "Way", "Place", "Pl", "Square", "Sq", "Blvd", "Boulevard", "Terrace", "Crescent", "Hill", "Row", "Gardens", "Parkway", "Walk", "Mews", "Grove")],
+    ["Calle", "C/", "C. ", "Cl. ", "Avda", "Av.", "Avenida", "Plaza", "Pza", "Pl.", "Paseo", "Pº", "Camino", "Cno", "Carre", "Ctra", "Ronda", "Travesía", "Rúa", "Rambla", "Glorieta"],
+    [f" {w} " for w in ("rue", "avenue", "av.", "boulevard", "bd", "place", "chemin", "impasse", "allée", "allées", "quai", "cours", "route", "square", "passage", "Rue", "Avenue", "Boulevard", "Place", "Chemin", "Impasse", "Allée", "Quai")],
+    [w for e in ("straße", "strasse", "str.", "weg", "gasse", "platz", "allee", "ring", "ufer", "damm", "steig") for w in (f"{e} ", f"{e.capitalize()} ")],
+    ["Box ", "Apartado", "Apdo", "Postfach", "ostale", "B.P", "BP ", "B.P.", "Casilla"],
+]
 _STREETS = [(form, re.compile(rf"(?<![\w/-])(?:{p})(?=,|[ ])")) for form, p in _ADDRESSES]
 
 
@@ -103,8 +115,11 @@ def emails(text: str) -> Iterator[tuple[int, int, int]]:
     if "@" in text:
         for m in _PLAIN_MAIL.finditer(text):
             yield m.start(), len(m.group().rstrip(".'-")) + m.start(), 0
-    for m in _VEILED_MAIL.finditer(text):
-        yield m.start(), m.end(), 1
+    for m in _VEIL.finditer(text):
+        first = max(text.rfind("\n", 0, m.start()) + 1, m.start() - LOCAL_CHARS)
+        local = _VEILED_LOCAL.search(text[first : m.start()])
+        if local:
+            yield first + local.start(), _VEILED_DOMAIN.match(text, m.end()).end(), 1
 
 
 def phones(text: str) -> Iterator[tuple[int, int, int]]:
@@ -114,15 +129,32 @@ def phones(text: str) -> Iterator[tuple[int, int, int]]:
             yield m.start(), m.end(), 0
 
 
+_SIX_DIGITS = re.compile(r"\d(?:[ .-]?\d){5}")
+
+
+def _lines_with(pattern: re.Pattern, text: str) -> Iterator[tuple[int, int]]:
+    """Start and end of the lines in which the pattern is found."""
+    at = 0
+    while m := pattern.search(text, at):
+        start, end = text.rfind("\n", 0, m.start()) + 1, text.find("\n", m.end())
+        end = len(text) if end < 0 else end
+        yield start, end
+        at = end
+
+
 def ids(text: str) -> Iterator[tuple[int, int, int]]:
-    for form, p in _IDS:
-        for m in p.finditer(text):
-            yield m.start(), m.end(), form
+    """Every form has six digits at least; only lines with as many are looked through."""
+    for start, end in _lines_with(_SIX_DIGITS, text):
+        for form, p in _IDS:
+            for m in p.finditer(text, start, end):
+                yield m.start(), m.end(), form
 
 
 def addresses(text: str) -> Iterator[tuple[int, int, int]]:
     """A street or box with what ends it; for a town of several words, each shorter town as well."""
     for form, p in _STREETS:
+        if not any(h in text for h in _HINTS[form]):
+            continue
         for m in p.finditer(text):
             end = _END.match(text, m.end())
             if not end:
@@ -234,7 +266,7 @@ def _own_features(kind: str, text: str, a: int, b: int, form: int, vocabulary: V
         domain = re.split(r"@|\bat\b|\barroba\b", s)[-1].strip(" ])}>")
         last = re.split(r"[.\s\[\](){}]+", domain.rstrip(" ])}>"))[-1].lower()
         local = re.split(r"@|[\[({<\s]\s?(?:at|arroba)", s)[0]
-        return [form, float(last.isalpha()), len(last), float(last in FILE_ENDINGS), float(domain[:1].isdigit()), float(local in ("git", "hg", "svn", "npm", "user", "root", "ssh")), len(local), float(text[b : b + 1] == ":" and text[b + 1 : b + 2].isalnum()), float(any(c.isdigit() for c in domain)), s.count(" ")]
+        return [form, float(last.isalpha()), float(last in FILE_ENDINGS), float(domain[:1].isdigit()), float(local in ("git", "hg", "svn", "npm", "user", "root", "ssh")), float(text[b : b + 1] == ":" and text[b + 1 : b + 2].isalnum()), float(any(c.isdigit() for c in domain)), s.count(" ")]
     if kind == "phone":
         plus, double0 = s.startswith(("+", "(+")), s.startswith("00")
         national = digits[2:] if double0 else digits
@@ -257,18 +289,18 @@ def _own_features(kind: str, text: str, a: int, b: int, form: int, vocabulary: V
     right = re.match(rf"[ ,]+({_TOKEN})", text[b : b + 40])
     left = re.search(rf"({_TOKEN})[ ]$", text[max(0, a - 40) : a])
     strange = [vocabulary.per_million(w.lower().split("-")[-1]) for w in tokens if w[0].isupper()]
-    common = [w.lower().rstrip(".") in COMMON for w in tokens if w[0].isupper()]
+    common = [not _INITIAL.fullmatch(w) and w.lower().rstrip(".") in COMMON for w in tokens if w[0].isupper()]
     next_common = float(bool(right) and right.group(1).lower().rstrip(".") in COMMON)
     next_rare = float(bool(right) and not next_common and vocabulary.per_million(right.group(1).lower()) < 1.5)
     previous_common = float(bool(left) and left.group(1).lower().rstrip(".") in COMMON | TITLES)
     if kind == "address":
         last = tokens[-1].lower() if tokens else ""
-        return [form, len(s), len(digits), len(tokens), float(re.search(r"\d{5}", s) is not None), float(bool(right)), next_common, next_rare, float(last in COMMON), vocabulary.per_million(last), float(s[-1].isdigit()), s.count(","), float(text[b : b + 1] in "-"), float(bool(re.match(r" \w+[.:]", text[b : b + 30])))]
+        return [form, float(re.search(r"\d{5}", s) is not None), float(bool(right)), next_common, next_rare, float(last in COMMON), vocabulary.per_million(last), float(s[-1].isdigit()), s.count(","), float(text[b : b + 1] in "-"), float(bool(re.match(r" \w+[.:]", text[b : b + 30])))]
     initials = sum(len(w) <= 3 and w.endswith(".") for w in tokens)
     full = [w for w in tokens if w[0].isupper() and not w.endswith(".")]
     first = tokens[0].lower().rstrip(".")
     return [form, len([w for w in tokens if w[0].isupper()]), initials, len(full), float(tokens[0].endswith(".")), float(any(w[0].islower() for w in tokens)), float(s.isupper()), float(any(common)), float(common[0]), float(common[-1]), max(strange), min(strange), strange[0], strange[-1],
-            float(first in TITLES), float(bool(left)), previous_common, float(bool(right)), next_common, next_rare, min(len(w) for w in full) if full else 0, float("-" in s), float(any(w.lower() in AGAINST for w in tokens)), float(text[b : b + 1] == ","), float(text[b : b + 1] == ":"), float(any(w.isupper() and len(w) > 2 for w in full) and not s.isupper())]
+            float(first in TITLES), float(bool(left)), previous_common, float(bool(right)), next_common, next_rare, float("-" in s), float(any(w.lower() in AGAINST for w in tokens)), float(text[b : b + 1] == ","), float(text[b : b + 1] == ":"), float(any(w.isupper() and len(w) > 2 for w in full) and not s.isupper())]
 
 
 def features(kind: str, text: str, a: int, b: int, form: int, vocabulary: Vocabulary) -> list[float]:
@@ -286,8 +318,8 @@ def features(kind: str, text: str, a: int, b: int, form: int, vocabulary: Vocabu
     return around + _own_features(kind, text, a, b, form, vocabulary)
 
 
-def candidates(text: str, vocabulary: Vocabulary) -> Iterator[tuple[str, int, int, list[float]]]:
-    for kind in KINDS:
+def candidates(text: str, vocabulary: Vocabulary, kinds: tuple[str, ...] = KINDS) -> Iterator[tuple[str, int, int, list[float]]]:
+    for kind in kinds:
         seen = set()
         for a, b, form in GENERATORS[kind](text):
             if (a, b) not in seen:

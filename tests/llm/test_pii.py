@@ -21,10 +21,10 @@ def test_generators_reach_every_labelled_span():
     assert total > 1500 and missed / total < 0.02
 
 
-def test_held_out_accuracy():
+def test_held_out_accuracy(spark):
     """Other seed, hence other names, numbers and topics than in training."""
     texts, topics = samples(1500, 77)
-    found = find([t for t, _ in texts], models(), SampleVocabulary(topics))
+    found = find([t for t, _ in texts], models(spark), SampleVocabulary(topics))
     for kind in KINDS:
         true = {(i, s) for i, (_, spans) in enumerate(texts) for s in spans if s[0] == kind}
         got = {(i, s[:3]) for i, f in enumerate(found) for s in f if s[0] == kind}
@@ -32,8 +32,8 @@ def test_held_out_accuracy():
         assert precision > 0.95 and recall > 0.88, (kind, precision, recall)
 
 
-def values(text):
-    return [(k, text[a:b]) for k, a, b, _ in find([text], models(), VOCABULARY)[0]]
+def values(spark, text):
+    return [(k, text[a:b]) for k, a, b, _ in find([text], models(spark), VOCABULARY)[0]]
 
 
 @pytest.mark.parametrize(
@@ -59,13 +59,13 @@ def values(text):
         ("", []),
     ],
 )
-def test_lines(text, expected):
-    assert values(text) == expected
+def test_lines(spark, text, expected):
+    assert values(spark, text) == expected
 
 
-def test_placeholders_leave_the_rest_unchanged():
+def test_placeholders_leave_the_rest_unchanged(spark):
     text = "Según Marta Lindel, el correo es\tana@lab.test;\n\n tel: 0491 570 152 "
-    spans = find([text], models(), VOCABULARY)[0]
+    spans = find([text], models(spark), VOCABULARY)[0]
     assert redact(text, spans) == "Según [NAME], el correo es\t[EMAIL];\n\n tel: [PHONE] "
     kept = resolve([("name", 5, 9, 0.9), ("address", 0, 9, 0.6), ("name", 20, 25, 0.9), ("name", 20, 25, 0.9)])
     assert [s[:3] for s in kept] == [("address", 0, 9), ("name", 20, 25)]
