@@ -67,6 +67,16 @@ def audit_classes(node_keys: DataFrame, edges: DataFrame) -> DataFrame:
     return d.select("key", F.explode(F.array_compact(F.array(extra, own))).alias("class"))
 
 
+#: Keys of a frontier up to which it is broadcast to the edges; beyond, both sides are shuffled and hot keys are split at run time.
+BROADCAST_FRONTIER = 500_000
+
+
+def _to_edges(frontier: DataFrame, n: int, most: int = BROADCAST_FRONTIER) -> DataFrame:
+    """The frontier for a join with edges, whose number of rows n is known: broadcast while that is small, so that the edges of a hub stay
+    spread as they are."""
+    return F.broadcast(frontier) if n <= most else frontier
+
+
 def reach(nodes: DataFrame, edges: DataFrame, seed: Column, direction: str = "both", most_rounds: int = 1000) -> DataFrame:
     """Keys reachable from the nodes that satisfy seed, themselves included, along dependencies, dependents or both.
 
@@ -77,12 +87,14 @@ def reach(nodes: DataFrame, edges: DataFrame, seed: Column, direction: str = "bo
         raise ValueError("direction is dependencies, dependents or both")
     forward = edges.select(F.col("source").alias("a"), F.col("target").alias("b"))
     steps = {"dependencies": forward, "dependents": forward.select(F.col("b").alias("a"), F.col("a").alias("b")), "both": forward.unionByName(forward.select(F.col("b").alias("a"), F.col("a").alias("b")))}[direction]
-    steps = cut(steps.distinct().repartition("a"))
+    steps = cut(steps.distinct())
     frontier = seen = cut(nodes.where(seed).select("key").distinct())
+    n = frontier.count()
     for _ in range(most_rounds):
-        met = frontier.join(steps, frontier["key"] == steps["a"]).select(F.col("b").alias("key")).distinct()
+        met = steps.join(_to_edges(frontier.withColumnRenamed("key", "a"), n), "a").select(F.col("b").alias("key")).distinct()
         frontier = cut(met.join(seen, "key", "left_anti"))
-        if frontier.isEmpty():
+        n = frontier.count()
+        if not n:
             break
         seen = seen.unionByName(frontier)
     return seen
@@ -98,23 +110,25 @@ def scope_seed(reference: str) -> Column:
     return F.ilike(F.col("key"), F.lit(keys.like_escape(f"file:{folder}/") + "%"), F.lit("\\"))
 
 
-def impact(edges: DataFrame, key: str, max_depth: int = 25, max_nodes: int = 10_000) -> tuple[DataFrame, bool]:
+def impact(edges: DataFrame, key: str, max_depth: int = 25, max_nodes: int | None = 10_000) -> tuple[DataFrame, bool]:
     """Consumers of key over reversed edges: key, distance, certainty, relation, chain (from the consumer to key); and whether a
     bound cut the walk short.
 
     Structural and production edges play no part. A consumer is declared if one of its shortest paths has no low-confidence
-    evidence. Bounds are clamped to 1..50 levels and 100..20000 nodes; the level in which the node bound is reached is
-    still whole.
+    evidence. Bounds are clamped to 1..50 levels and 100..20000 nodes, or no bound on nodes if max_nodes is None; the level in
+    which the node bound is reached is still whole.
     """
-    max_depth, max_nodes = min(max(1, max_depth), 50), min(max(100, max_nodes), 20_000)
-    uses = cut(edges.where(~structural() & ~production()).select("source", "target", "relation", low().alias("low")).repartition("target"))
+    max_depth = min(max(1, max_depth), 50)
+    most = float("inf") if max_nodes is None else min(max(100, max_nodes), 20_000)
+    uses = cut(edges.where(~structural() & ~production()).select("source", "target", "relation", low().alias("low")))
     spark = edges.sparkSession
     start = spark.createDataFrame([(key, 0, False, "", [key])], "key string, distance int, possible boolean, relation string, chain array<string>")
     frontier = seen = cut(start)
-    n, truncated = 1, False
+    n, found, truncated = 1, 1, False
     for level in range(1, max_depth + 1):
-        met = frontier.join(uses, frontier["key"] == uses["target"])
-        row = F.struct((F.col("possible") | F.col("low")).alias("possible"), uses["relation"].alias("relation"), F.concat(F.array("source"), F.col("chain")).alias("chain"))
+        at = frontier.select(F.col("key").alias("target"), "possible", "chain")
+        met = uses.join(_to_edges(at, found), "target")
+        row = F.struct((F.col("possible") | F.col("low")).alias("possible"), "relation", F.concat(F.array("source"), F.col("chain")).alias("chain"))
         best = met.select(F.col("source").alias("key"), row.alias("row")).groupBy("key").agg(F.min("row").alias("row"))
         new = best.join(seen.select("key"), "key", "left_anti").select("key", F.lit(level).alias("distance"), "row.possible", "row.relation", "row.chain")
         frontier = cut(new)
@@ -122,8 +136,9 @@ def impact(edges: DataFrame, key: str, max_depth: int = 25, max_nodes: int = 10_
         if not found:
             break
         seen, n = seen.unionByName(frontier), n + found
-        if n >= max_nodes or level == max_depth:
-            truncated = not frontier.join(uses, frontier["key"] == uses["target"]).select(F.col("source").alias("key")).join(seen.select("key"), "key", "left_anti").isEmpty()
+        if n >= most or level == max_depth:
+            last = _to_edges(frontier.select(F.col("key").alias("target")), found)
+            truncated = not uses.join(last, "target").select(F.col("source").alias("key")).join(seen.select("key"), "key", "left_anti").isEmpty()
             break
     out = seen.where(F.col("distance") > 0)
     return out.select("key", "distance", F.when(F.col("possible"), "possible").otherwise("declared").alias("certainty"), "relation", "chain"), truncated

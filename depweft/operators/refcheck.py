@@ -1,6 +1,6 @@
 """References to records that do not exist, no longer exist or came later.
 
-A split-block Bloom filter of the parent keys (256-bit blocks, eight words of 32 bits, one bit in each word) is built as an
+A split-block Bloom filter of the parent keys (512-bit blocks, eight words of 64 bits, one bit in each word) is built as an
 aggregation and broadcast. A reference that it rejects is certainly an orphan and never reaches a shuffle join; the others
 are verified by an exact join. References are reduced to one row per field, key and period first, so hot keys are no
 burden.
@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 
 from depweft.session import cut
 
-WORDS = 8
+WORDS, WORD_BITS = 8, 64
 BITS_PER_KEY = 12
-#: Size bound of what is broadcast: 2^19 blocks of 32 bytes are 16 MB of bits. Beyond it the filter only passes more
+#: Size bound of what is broadcast: 2^18 blocks of 64 bytes are 16 MB of bits. Beyond it the filter only passes more
 #: references on to the exact join; the result stays the same.
-MAX_BLOCKS = 1 << 19
+MAX_BLOCKS = 1 << 18
 
 
 def _block(hashed: Column, blocks: int) -> Column:
@@ -28,12 +28,12 @@ def _bit(hashed: Column, word: int) -> Column:
     # The low 33 bits and word-wise odd multipliers give the position within each word.
     low = hashed.bitwiseAND(F.lit((1 << 33) - 1))
     mixed = F.shiftright((low * F.lit(0x1E3779B1 + 0x2545F49 * word)).bitwiseAND(F.lit((1 << 62) - 1)), 24)
-    return F.pmod(mixed, F.lit(32)).cast("int")
+    return F.pmod(mixed, F.lit(WORD_BITS)).cast("int")
 
 
 def bloom_blocks(keys: DataFrame, key: str, n_keys: int, max_blocks: int = MAX_BLOCKS) -> tuple[DataFrame, int]:
     """The filter as rows (block, w0..w7) and its number of blocks."""
-    blocks = max(1, min(max_blocks, -(-n_keys * BITS_PER_KEY // (32 * WORDS))))
+    blocks = max(1, min(max_blocks, -(-n_keys * BITS_PER_KEY // (WORD_BITS * WORDS))))
     h = keys.where(F.col(key).isNotNull()).select(F.xxhash64(key).alias("h"))
     one = F.lit(1).cast("bigint")
     words = [F.bit_or(F.call_function("shiftleft", one, _bit(F.col("h"), w))).alias(f"w{w}") for w in range(WORDS)]

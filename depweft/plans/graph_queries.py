@@ -128,19 +128,19 @@ def scope_page(spark, d):
 
 
 def impact_consumers(spark, d):
-    return graph.impact(load(spark, d)[1], SETTINGS, max_nodes=20_000)[0].select("key", "distance", "certainty")
+    return graph.impact(load(spark, d)[1], SETTINGS, max_nodes=None)[0].select("key", "distance", "certainty")
 
 
 def impact_summary(spark, d):
     _, edges = load(spark, d)
-    consumers, truncated = graph.impact(edges, SETTINGS, max_nodes=20_000)
+    consumers, truncated = graph.impact(edges, SETTINGS, max_nodes=None)
     direct = edges.where((F.col("target") == SETTINGS) & ~graph.structural() & ~graph.production()).agg(F.count_if(~graph.low()).alias("direct_declared"), F.count_if(graph.low()).alias("direct_inferred"))
     total = consumers.agg(F.count(F.lit(1)).alias("transitive"), F.count_if(F.col("certainty") == "possible").alias("possible_paths"), F.max("distance").alias("depth"))
     return one_row(total, direct).withColumn("truncated", F.lit(truncated))
 
 
 def impact_entry_chains(spark, d):
-    return graph.entry_chains(graph.impact(load(spark, d)[1], SETTINGS, max_nodes=20_000)[0])
+    return graph.entry_chains(graph.impact(load(spark, d)[1], SETTINGS, max_nodes=None)[0])
 
 
 def two_hop(spark, d):

@@ -143,7 +143,7 @@ def test_bloom_has_no_false_negatives_and_few_false_positives(spark):
     assert out.where("key IS NULL AND maybe").count() == 0
 
 
-@pytest.mark.parametrize("max_blocks", [1, 1 << 19])
+@pytest.mark.parametrize("max_blocks", [1, 1 << 18])
 def test_orphans_equal_brute_force_whatever_the_filter(spark, max_blocks):
     r = random.Random(5)
     parents = [(f"k{i}", r.choice([0, 50, 100, None]), r.random() < 0.2) for i in range(60)]
