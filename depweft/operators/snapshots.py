@@ -17,8 +17,8 @@ from depweft.session import cut
 
 #: Entries per bucket; 24 bytes each, so that a bucket takes a few MB wherever it is processed.
 BUCKET_ENTRIES = 250_000
-#: Differing keys (12 bytes each) up to which they are broadcast to the second pass; beyond, both sides are shuffled.
-BROADCAST_KEYS = 2_000_000
+#: Differing keys up to which they are broadcast to the second pass (one long and one int each); beyond, both sides are shuffled.
+BROADCAST_KEYS = 1_000_000
 
 
 def snapshot_order(df: DataFrame, snap: str, delivered: str) -> list[tuple]:
@@ -117,11 +117,8 @@ def target_changes(targets: DataFrame) -> DataFrame:
     compact = entries.select("ord", key.alias("k"), F.xxhash64("value").alias("h"))
     changed = cut(changed_keys(compact, len(order), n_entries))
 
-    sides = F.explode(F.array(F.struct(F.col("pair").alias("ord"), F.lit(True).alias("later")), F.struct((F.col("pair") - 1).alias("ord"), F.lit(False).alias("later"))))
-    wanted = changed.select("pair", "k", sides.alias("s")).select("pair", "k", "s.ord", "s.later")
-    if changed.count() <= BROADCAST_KEYS:
-        wanted = F.broadcast(wanted)
-    full = entries.withColumn("k", key).join(wanted, ["ord", "k"])
+    wanted = F.broadcast(changed) if changed.count() <= BROADCAST_KEYS else changed
+    full = entries.withColumn("k", key).join(wanted, "k").where((F.col("ord") == F.col("pair")) | (F.col("ord") == F.col("pair") - 1)).withColumn("later", F.col("ord") == F.col("pair"))
     old, new = F.when(~F.col("later"), F.col("value")), F.when(F.col("later"), F.col("value"))
     diffs = full.groupBy("pair", "id", "path").agg(F.max(old).alias("old"), F.max(new).alias("new")).where(~F.col("old").eqNullSafe(F.col("new")))
 
