@@ -235,6 +235,25 @@ def literal_writes(files: DataFrame) -> DataFrame:
     return rows.select("path", "spec", F.lit("generates").alias("relation"), F.lit("declared").alias("evidence"), F.lit("literal").alias("mode")).distinct()
 
 
+def generated_posts(files: DataFrame, inventory: DataFrame) -> DataFrame:
+    """Edges of scripts that create posts below src/content/blog to what they make there: source, target, relation, evidence.
+
+    A script counts if it writes files, names that folder part by part and post.json, and calls createPost; images count only if it names
+    images/posts as well. Only files that exist are linked, so nothing is made up.
+    """
+    t = F.col("text")
+    maker = t.rlike(fixed.OUTPUT_WRITES) & t.rlike(r"""['"]src['"]\s*,\s*['"]content['"]\s*,\s*['"]blog['"]""") & F.contains(t, F.lit("post.json")) & t.rlike(r"createPost\s*\(")
+    images = t.rlike(r"""['"]images['"]\s*,\s*['"]posts['"]""")
+    scripts = files.where(keys.suffix(F.col("path")).isin(".js", ".ts", ".mjs", ".cjs", ".jsx", ".tsx", ".py") & F.coalesce(maker, F.lit(False))).select("path", F.explode(F.when(images, F.array(F.lit("post"), F.lit("image"))).otherwise(F.array(F.lit("post")))).alias("kind"))
+    p = F.col("target")
+    post = p.rlike(r"^src/content/blog/[a-zA-Z0-9_-]{1,160}/(post\.json|index-(es|en)\.mdx)$") | p.rlike(r"^src/locales/(es|en)/posts/[a-zA-Z0-9_-]{1,160}\.json$")
+    slug = F.coalesce(F.nullif(F.regexp_extract(p, r"^src/content/blog/([^/]+)/", 1), F.lit("")), F.nullif(F.regexp_extract(p, r"^src/locales/[^/]+/posts/(.+)\.json$", 1), F.lit("")), F.nullif(F.regexp_extract(p, r"^public/images/posts/([^/]+)/[^/]+$", 1), F.lit("")))
+    made = inventory.select(F.col("path").alias("target")).distinct().select("target", F.when(post, "post").when(p.rlike(r"^public/images/posts/[^/]+/[^/]+$"), "image").alias("kind"), slug.alias("slug")).where("kind IS NOT NULL")
+    known = inventory.select(F.regexp_extract("path", r"^src/content/blog/([a-zA-Z0-9_-]{1,160})/", 1).alias("slug")).where("slug <> ''").distinct()
+    out = scripts.join(made.join(known, "slug", "left_semi"), "kind")
+    return out.select(F.concat(F.lit("file:"), "path").alias("source"), F.concat(F.lit("file:"), "target").alias("target"), F.lit("generates").alias("relation"), F.lit("inferred").alias("evidence")).distinct()
+
+
 def paired_content(inventory: DataFrame) -> DataFrame:
     """source, target, relation, evidence of post and project records and the localised files beside them."""
     p = inventory.select("path", keys.parent(F.col("path")).alias("folder"), keys.base_name(F.col("path")).alias("name"))

@@ -41,7 +41,7 @@ def file_edges(files: DataFrame, inventory: DataFrame) -> tuple[DataFrame, DataF
     refs = cut(refs.distinct())
     aliases = aliases_of(texts)
     known = inventory.select("path").distinct()
-    edges = resolved(refs, known, aliases).unionByName(expanded(refs, known, aliases)).unionByName(extract.paired_content(known))
+    edges = resolved(refs, known, aliases).unionByName(expanded(refs, known, aliases)).unionByName(extract.paired_content(known)).unionByName(extract.generated_posts(texts, known))
     libraries = binary_references(files)
     local = libraries.withColumn("mode", F.lit("path"))
     found = resolved(local, known).withColumn("target", F.regexp_replace("target", "^external:path:", "external:binary:")).withColumn("evidence", F.when(F.col("evidence") == "probable", "heuristic").otherwise(F.col("evidence")))

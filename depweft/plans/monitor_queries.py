@@ -169,9 +169,17 @@ def note_fields(spark, d):
     return v.select("key", F.length(note["summary"]).alias("summary_chars"), F.coalesce(F.size(note["responsibilities"]), F.lit(0)).alias("n_responsibilities"))
 
 
+def registration_events(spark, d):
+    """Algorithm switches, if the targets of the first snapshot are registered anew as they stand in the last."""
+    order = snapshot_order(tables(spark, d, "targets")[0], "snap_no", "delivered_at")
+    v = valid_targets(spark, d).select("snap_no", "target", "algorithm", "record_diffs", "last_sha").distinct()
+    first, last = (v.where(F.col("snap_no") == s).drop("snap_no") for s in (order[0][0], order[-1][0]))
+    return monitor.registered(first, last.drop("last_sha"))[1]
+
+
 _ALL = (
     monitor_replay, logged_states, change_counts, changed_files, unchanged_files, manifest_hashes, manifest_markers, last_events, event_months, cascaded_events, event_algorithms, due_targets, next_checks, target_states, note_states, note_models, fresh_note_keys,
-    note_run_plan, note_fields,
+    note_run_plan, note_fields, registration_events,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
@@ -208,6 +216,8 @@ SELECT e.id, e.s."at" AS "at", e.s.type AS type, e.s.summary AS summary, cur.tar
     "due_targets": f"WITH {_NOW} SELECT id FROM cur WHERE {_UTC.format('next_check')} <= TIMESTAMP '2026-06-16 12:00:00' ORDER BY {_UTC.format('next_check')}, id LIMIT 10",
     "next_checks": f"WITH {_NOW} SELECT id, epoch_us({_UTC.format('checked_at')}) + interval_seconds::BIGINT * 1000000 AS next_us FROM cur",
     "target_states": f"WITH {_NOW} SELECT kind, last_state, count(*) AS n FROM cur GROUP BY ALL",
+    "registration_events": f"""WITH {_VALID}, a AS (SELECT DISTINCT target, algorithm FROM v WHERE snap_no = (SELECT min(snap_no) FROM targets)), b AS (SELECT DISTINCT target, algorithm FROM v WHERE snap_no = (SELECT max(snap_no) FROM targets))
+SELECT a.target, 'algorithm' AS type, a.algorithm AS "from", b.algorithm AS "to" FROM a JOIN b ON a.target = b.target WHERE a.algorithm <> b.algorithm""",
     "note_states": f"WITH {_NOTES} SELECT state, count(*) AS n FROM notes GROUP BY state",
     "note_models": f"WITH {_NOTES} SELECT provider, model, language, count(*) AS n FROM notes GROUP BY ALL",
     "fresh_note_keys": f"WITH {_VERSIONS} SELECT key FROM ver JOIN notes n ON n.node_key = key AND n.version = ver.version WHERE n.state = 'done' AND note_json IS NOT NULL",

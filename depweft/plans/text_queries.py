@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from depweft.functions import fixed, keys
+from depweft.functions.projects import is_binary_name, project_id
 from depweft.functions.text import digest_norm
 from depweft.operators import classify as cls
 from depweft.operators import extract, monitor
@@ -168,9 +169,22 @@ def catalogue_status(spark, d):
     return cls.learned_catalogue(file_types).agg(F.countDistinct("ending").alias("n_endings"), F.countDistinct("language").alias("n_languages"), F.countDistinct(F.when(F.col("analyzer") != "inventory", F.col("analyzer"))).alias("n_analyzers"))
 
 
+def project_ids(spark, d):
+    """Ids of the projects that documents name."""
+    (documents,) = tables(spark, d, "documents")
+    rows = documents.where(F.col("project").isNotNull()).select("project").distinct()
+    return rows.select("project", project_id(F.col("project"), F.concat(F.lit("/srv/"), "project"), F.lit(None).cast("string")).alias("id"))
+
+
+def binary_names(spark, d):
+    """Known files whose name is that of a binary."""
+    (nodes,) = tables(spark, d, "nodes")
+    return nodes.where(F.col("key").startswith("file:")).select("key").distinct().where(is_binary_name(keys.relative(F.col("key"))))
+
+
 _ALL = (
     refs_static, refs_web, refs_python_streamed, refs_python_parsed, python_failures, refs_semantic, resolved_edges, text_digests, text_copies, digest_checks, secret_files, safe_files, visible_pages, visible_pages_parsed, excerpts, wrapped_lines, commit_lines,
-    hunk_ranges, diff_paths, page_addresses, page_deployments, classified, catalogue_status,
+    hunk_ranges, diff_paths, page_addresses, page_deployments, classified, catalogue_status, project_ids, binary_names,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
@@ -237,5 +251,8 @@ SELECT target, CASE WHEN ok AND NOT (host IN ('', 'localhost') OR {" OR ".join(f
   THEN scheme || '://' || host || CASE WHEN port <> '' THEN ':' || port ELSE '' END || CASE WHEN path = '' THEN '/' ELSE path END || query END AS address FROM t""",
     "page_deployments": """WITH p AS (SELECT DISTINCT target AS url FROM targets WHERE kind = 'web'), e AS (SELECT url AS own, regexp_extract(url, '^(https://[^/]+/[^/]*)', 1) AS env, sha256(url) AS sha FROM p)
 SELECT url, env AS environment_url, sha FROM p JOIN e ON split_part(url, '/', 3) = split_part(env, '/', 3) AND (url = rtrim(env, '/') OR starts_with(url, rtrim(env, '/') || '/'))""",
+    "project_ids": """SELECT DISTINCT project, CASE WHEN s = '' THEN 'project' ELSE s END || '-' || left(sha256(encode(lower('/srv/' || project)) || '\\x00'::BLOB), 12) AS id
+FROM (SELECT project, left(lower(regexp_replace(regexp_replace(project, '[^a-zA-Z0-9_-]+', '-', 'g'), '^[-_]+|[-_]+$', '', 'g')), 48) AS s FROM documents WHERE project IS NOT NULL)""",
+    "binary_names": f"SELECT DISTINCT key FROM nodes WHERE starts_with(key, 'file:') AND {_SUFFIX.format('key')} IN ({', '.join(_q(x) for x in fixed.BINARY_SUFFIXES)})",
     "catalogue_status": f"WITH {_CATALOGUE} SELECT count(DISTINCT ending) AS n_endings, count(DISTINCT language) AS n_languages, count(DISTINCT CASE WHEN analyzer <> 'inventory' THEN analyzer END) AS n_analyzers FROM learned",
 }
