@@ -106,10 +106,10 @@ def excerpts(spark, d):
 
 
 def wrapped_lines(spark, d):
-    """Number of twelve-word lines of each text, and the first and last of them."""
+    """The twelve-word lines of each text, as a web diff compares them."""
     (documents,) = tables(spark, d, "documents")
     rows = monitor.wrapped_words(F.regexp_replace("text", r"[ \t\n\r\f]+", " "))
-    return documents.where(F.col("text").isNotNull()).select("doc_id", F.size(rows).alias("n"), F.get(rows, F.lit(0)).alias("first"), F.get(rows, F.size(rows) - 1).alias("last"))
+    return documents.where(F.col("text").isNotNull()).select("doc_id", F.posexplode(rows).alias("n", "line"))
 
 
 def commit_lines(spark, d):
@@ -236,8 +236,9 @@ SELECT key FROM k WHERE len(list_filter(low, lambda p: starts_with(p, '.env') OR
     + "".join(f", '(?is)<{t}[^>]*>.*?</{t}>', ' ', 'g')" for t in fixed.HIDDEN_TAGS)
     + f", '(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[ \\t\\n\\r\\f]+', ' ', 'g'), ' ') AS visible FROM documents WHERE {_SOURCE} = 'web-page' AND text IS NOT NULL",
     "excerpts": "SELECT doc_id, left(text, 350) AS short, length(left(text, 1600))::INT AS sample_chars, length(text) > 12000 AS truncated FROM documents WHERE text IS NOT NULL",
-    "wrapped_lines": """WITH w AS (SELECT doc_id, list_filter(string_split(regexp_replace(text, '[ \\t\\n\\r\\f]+', ' ', 'g'), ' '), lambda x: x <> '')[1:2400] AS ws FROM documents WHERE text IS NOT NULL)
-SELECT doc_id, ((len(ws) + 11) // 12)::INT AS n, CASE WHEN len(ws) > 0 THEN array_to_string(ws[1:12], ' ') END AS first, CASE WHEN len(ws) > 0 THEN array_to_string(ws[((len(ws) - 1) // 12) * 12 + 1:], ' ') END AS last FROM w""",
+    "wrapped_lines": """WITH w AS (SELECT doc_id, list_filter(string_split(regexp_replace(text, '[ \\t\\n\\r\\f]+', ' ', 'g'), ' '), lambda x: x <> '')[1:2400] AS ws FROM documents WHERE text IS NOT NULL),
+k AS (SELECT doc_id, ws, unnest(range(0, (len(ws) + 11) // 12)) AS n FROM w)
+SELECT doc_id, n::INT AS n, array_to_string(ws[n * 12 + 1:n * 12 + 12], ' ') AS line FROM k""",
     "commit_lines": f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents WHERE {_SOURCE} = 'commit-log')
 SELECT DISTINCT doc_id, regexp_extract(line, '^([0-9a-f]{{7,40}}) ([a-z]+): (.*)$', 1) AS sha, regexp_extract(line, '^([0-9a-f]{{7,40}}) ([a-z]+): (.*)$', 2) AS kind, left(regexp_extract(line, '^([0-9a-f]{{7,40}}) ([a-z]+): (.*)$', 3), 250) AS message
 FROM l WHERE regexp_matches(line, '^([0-9a-f]{{7,40}}) ([a-z]+): (.*)$')""",
