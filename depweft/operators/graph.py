@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from depweft.functions import fixed, keys
-from depweft.session import cut
+from depweft.session import cut, cut_counted
 
 
 def structural() -> Column:
@@ -88,12 +88,11 @@ def reach(nodes: DataFrame, edges: DataFrame, seed: Column, direction: str = "bo
     forward = edges.select(F.col("source").alias("a"), F.col("target").alias("b"))
     steps = {"dependencies": forward, "dependents": forward.select(F.col("b").alias("a"), F.col("a").alias("b")), "both": forward.unionByName(forward.select(F.col("b").alias("a"), F.col("a").alias("b")))}[direction]
     steps = cut(steps.distinct())
-    frontier = seen = cut(nodes.where(seed).select("key").distinct())
-    n = frontier.count()
+    frontier, n = cut_counted(nodes.where(seed).select("key").distinct())
+    seen = frontier
     for _ in range(most_rounds):
         met = steps.join(_to_edges(frontier.withColumnRenamed("key", "a"), n), "a").select(F.col("b").alias("key")).distinct()
-        frontier = cut(met.join(seen, "key", "left_anti"))
-        n = frontier.count()
+        frontier, n = cut_counted(met.join(seen, "key", "left_anti"))
         if not n:
             break
         seen = seen.unionByName(frontier)
@@ -131,8 +130,9 @@ def impact(edges: DataFrame, key: str, max_depth: int = 25, max_nodes: int | Non
         row = F.struct((F.col("possible") | F.col("low")).alias("possible"), "relation", F.concat(F.array("source"), F.col("chain")).alias("chain"))
         best = met.select(F.col("source").alias("key"), row.alias("row")).groupBy("key").agg(F.min("row").alias("row"))
         new = best.join(seen.select("key"), "key", "left_anti").select("key", F.lit(level).alias("distance"), "row.possible", "row.relation", "row.chain")
-        frontier = cut(new)
-        found = frontier.count()
+        frontier, found = cut_counted(new)
+        if max_nodes is not None:
+            found = frontier.count()
         if not found:
             break
         seen, n = seen.unionByName(frontier), n + found

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from depweft.functions import keys
 from depweft.operators import extract, graph
 from depweft.operators.resolve import expanded, resolved
-from depweft.session import cut
+from depweft.session import cut, cut_counted
 from depweft.sources.binaries import binary_references
 from depweft.sources.containers import encryption_reasons, iso_edges, iso_files
 
@@ -67,8 +67,8 @@ def index_files(files: DataFrame, seeds: DataFrame | None = None) -> tuple[DataF
     while True:
         level += 1
         met = edges.join(frontier.select(F.col("key").alias("source")), "source", "left_semi").select(F.col("target").alias("key")).distinct()
-        frontier = cut(met.join(seen, "key", "left_anti").withColumn("depth", F.lit(level)))
-        if frontier.isEmpty():
+        frontier, n = cut_counted(met.join(seen, "key", "left_anti").withColumn("depth", F.lit(level)))
+        if not n:
             break
         seen = seen.unionByName(frontier)
     path = keys.relative(F.col("key"))

@@ -13,6 +13,7 @@ from depweft.operators.incremental import VersionedTarget, run_once
 from depweft.operators.snapshots import snapshot_order
 from depweft.plans.core_problems import _CURRENT, node_states
 from depweft.plans.graph_queries import _WITH, load
+from depweft.plans.graph_queries import SQL as GRAPH_SQL
 from depweft.plans.monitor_queries import SQL as MONITOR_SQL
 from depweft.plans.monitor_queries import valid_targets
 from depweft.plans.text_queries import file_texts
@@ -76,10 +77,10 @@ def monitor_stream(spark, d):
 
 
 def export_nodes(spark, d):
-    """Exported node records as JSON."""
+    """Exported node records, the usage struct laid flat."""
     nodes, edges = load(spark, d)
-    records = export.node_records(nodes.drop("updated").withColumn("updated", F.lit(None).cast("string")), edges)
-    return records.select("id", F.to_json(F.struct("id", "type", "status", "depth", "sha256", "error", "usage"), {"ignoreNullFields": "false"}).alias("record"))
+    records = export.node_records(nodes, edges)
+    return records.select("id", "type", "status", "depth", "sha256", "error", F.col("usage.status").alias("usage"), F.col("usage.declared_incoming").alias("declared_incoming"), F.col("usage.inferred_incoming").alias("inferred_incoming"), F.col("usage.producers").alias("producers"))
 
 
 def export_edges(spark, d):
@@ -115,6 +116,7 @@ _SOURCE = "SELECT key, regexp_replace(lower(trim(digest)), '^sha256:', '') AS ve
 _EARLY = f"early AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY updated DESC NULLS LAST, loaded_at DESC NULLS LAST) AS rn FROM nodes WHERE loaded_at < TIMESTAMP '{CUTOFF}') WHERE rn = 1)"
 _USE = "relation NOT IN ('contains')"
 SQL = {
+    "export_nodes": "SELECT n.key AS id, n.kind AS type, n.status, n.depth, n.digest AS sha256, n.error, u.usage, u.declared_incoming, u.inferred_incoming, u.producers FROM (" + f"{_WITH} SELECT * FROM current_nodes" + ") n JOIN (" + GRAPH_SQL["usage_labels"] + ") u ON u.key = n.key",
     "incremental_runs": f"WITH {_CURRENT}, {_EARLY}, u AS ({_SOURCE.format('early')} UNION {_SOURCE.format('current_nodes')}) SELECT key, version, length(key)::INT AS chars FROM u",
     "monitor_stream": MONITOR_SQL["monitor_replay"].replace("SELECT target, seq, state FROM replay", "SELECT target, seq, state FROM replay WHERE state <> 'unchanged'"),
     "export_edges": f'{_WITH} SELECT source AS "from", target AS "to", relation, coalesce(evidence, \'unknown\') AS evidence FROM e',

@@ -211,6 +211,10 @@ _SOURCE = "lower(replace(trim(source), '_', '-'))"
 _NORM = "regexp_replace(lower(trim(digest)), '^sha256:', '')"
 _CATALOGUE = """counted AS (SELECT regexp_extract(evidence, '^extension:(\\..+)$', 1) AS ending, language, lower(trim(category)) AS category, analyzer, count(*) AS n FROM file_types WHERE language IS NOT NULL AND analyzer IS NOT NULL GROUP BY ALL),
 learned AS (SELECT ending, language, category, analyzer FROM (SELECT *, row_number() OVER (PARTITION BY ending, language ORDER BY n DESC, category DESC, analyzer DESC) AS rn FROM counted WHERE ending <> '') WHERE rn = 1)"""
+_CUT = "trim(split_part(split_part(spec, '?', 1), '#', 1))"
+_VALUE = f"CASE WHEN contains({_CUT}, '%') THEN url_decode({_CUT}) ELSE {_CUT} END"
+_ENDINGS = ", ".join(f"({_q(e)}, {_q(a)}, {_q(b)}, {_q(c)}, {i})" for i, (a, b, c, ends) in enumerate(fixed.ANALYZED) for e in ends.split())
+_NAMED = ", ".join(f"({_q(n)}, {_q(a)}, {_q(b)})" for n, a, b, _ in fixed.FILE_NAMES)
 _FORM = "^[hH][tT][tT][pP][sS]?://([^/?#\\\\@:\\s]+)(?::(\\d+))?(/[^?#]*)?(\\?[^#]*)?(?:#.*)?$"
 
 SQL = {
@@ -219,6 +223,19 @@ SELECT DISTINCT * FROM refs WHERE spec <> '' AND NOT (relation IN ('static-impor
     "refs_web": f"""WITH {_FILES}, refs AS ({_patterns(fixed.WEB_PATTERNS)})
 SELECT DISTINCT * FROM refs WHERE spec <> '' AND (mode <> 'resource' OR {_SUFFIX.format("split_part(spec, '?', 1)")} IN ({", ".join(_q(s) for s in fixed.RESOURCE_SUFFIXES)}))""",
     "refs_python_streamed": f"WITH {_FILES}, refs AS ({_patterns([(['.py', '.pyi'], 'python-import', 'heuristic', 'python', p) for p in fixed.STREAM_PYTHON])}) SELECT DISTINCT * FROM refs WHERE spec <> ''",
+    "refs_semantic": f"""WITH {_FILES}, refs AS ({_patterns(fixed.SEMANTIC_PATTERNS)}),
+one AS (SELECT path, trim(unnest(CASE WHEN mode = 'srcset' THEN list_transform(string_split(spec, ','), lambda x: split_part(trim(x), ' ', 1)) ELSE [spec] END)) AS spec, relation, evidence, mode FROM refs WHERE spec <> ''),
+v AS (SELECT *, {_VALUE} AS val, contains(spec, '${{') AS templated FROM one WHERE spec <> ''),
+ok AS (SELECT *, {_SUFFIX.format("val")} AS vend FROM v WHERE val <> '' AND NOT regexp_matches(val, '^(//|https?:|data:|javascript:|mailto:|node:)') AND NOT contains(val, '://') AND NOT contains(val, '\\') AND length(spec) <= 1200)
+SELECT DISTINCT path, spec, relation, CASE WHEN templated OR (mode = 'read' AND NOT regexp_matches(spec, '^(\\.|/|@|src/|public/)')) THEN 'inferred' ELSE evidence END AS evidence, CASE WHEN templated THEN 'glob' WHEN mode = 'read' THEN 'read' ELSE 'semantic' END AS mode
+FROM ok WHERE templated OR mode IN ('semantic', 'read') OR vend IN ({", ".join(_q(x) for x in fixed.ASSET_SUFFIXES)})""",
+    "classified": f"""WITH {_CATALOGUE}, built(ending, language, category, analyzer, o) AS (VALUES {_ENDINGS}), named(name, language, category) AS (VALUES {_NAMED}),
+merged AS (SELECT ending, language, category, analyzer, 0 AS src, o FROM built UNION ALL SELECT ending, language, category, analyzer, 1, 0 FROM learned l WHERE NOT EXISTS (SELECT 1 FROM built b WHERE b.ending = l.ending AND b.language = l.language)),
+chosen AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ending ORDER BY analyzer = 'inventory', src, o, language) AS rn FROM merged) WHERE rn = 1),
+f AS (SELECT DISTINCT substr(key, 6) AS path, regexp_extract(key, '[^/:]*$') AS name FROM nodes WHERE starts_with(key, 'file:')),
+hit AS (SELECT f.path, c.ending, c.language, c.category, row_number() OVER (PARTITION BY f.path ORDER BY length(c.ending) DESC) AS rn FROM f JOIN chosen c ON suffix(lower(f.name), c.ending))
+SELECT f.path, coalesce(n.language, h.language, 'Unknown') AS language, coalesce(n.category, h.category, 'unknown') AS category, CASE WHEN n.name IS NOT NULL THEN 'filename' WHEN h.path IS NOT NULL THEN 'extension:' || h.ending ELSE 'unrecognized' END AS evidence
+FROM f LEFT JOIN named n ON n.name = f.name LEFT JOIN hit h ON h.path = f.path AND h.rn = 1""",
     "text_digests": "SELECT doc_id, sha256(text) AS sha256, md5(text) AS md5 FROM documents WHERE text IS NOT NULL",
     "text_copies": "SELECT sha256(text) AS sha256, count(*) AS n, min(doc_id) AS first_id FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1",
     "digest_checks": f"""WITH cur AS (SELECT key, {_NORM} AS expected FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY updated DESC NULLS LAST, loaded_at DESC NULLS LAST) AS rn FROM nodes) WHERE rn = 1)
@@ -229,7 +246,7 @@ SELECT doc_id, CASE WHEN expected IS NULL OR NOT regexp_full_match(expected, '[0
     + ")",
     "safe_files": f"""WITH k AS (SELECT DISTINCT key, string_split(substr(key, 6), '/') AS parts, string_split(lower(substr(key, 6)), '/') AS low FROM nodes WHERE starts_with(key, 'file:'))
 SELECT key FROM k WHERE len(list_filter(low, lambda p: starts_with(p, '.env') OR p IN ({", ".join(_q(x) for x in fixed.UNSAFE_NAMES)}))) = 0
-  AND {_SUFFIX.format("key")} NOT IN ({", ".join(_q(x) for x in fixed.UNSAFE_SUFFIXES)}) AND len(list_filter(parts, lambda p: p IN ({", ".join(_q(x) for x in fixed.UNSAFE_FOLDERS)}))) = 0""",
+  AND {_SUFFIX.format("key")} NOT IN ({", ".join(_q(x) for x in fixed.UNSAFE_SUFFIXES)}) AND len(list_filter(parts, lambda p: p IN ({", ".join(_q(x) for x in fixed.UNSAFE_FOLDERS)}) OR starts_with(p, '{fixed.UNSAFE_FOLDER_START}'))) = 0""",
     "visible_pages": "SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace("
     + "regexp_replace(" * 4
     + "text"

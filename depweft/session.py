@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def get_session(app: str = "depweft", master: str | None = None, **conf: str) -> SparkSession:
@@ -46,6 +47,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """cut(df) and its number of rows, counted while it is written; a stage that runs again after a loss may count rows twice, so the
+    number serves for emptiness and as an upper bound."""
+    seen = Observation()
+    out = cut(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    return out, seen.get["n"]
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over at least as many partitions as there are cores, for steps that cost far more than moving their rows. An input that comes
     in more splits than that, as any large one does, is left as it is."""
