@@ -22,11 +22,25 @@ BROADCAST_KEYS = 1_000_000
 
 
 def snapshot_order(df: DataFrame, snap: str, delivered: str) -> list[tuple]:
-    """(snapshot, latest delivery) in order: one row per snapshot, whatever the table's size."""
-    rows = df.where(F.col(snap).isNotNull()).groupBy(snap).agg(F.max(delivered).alias("d")).orderBy(snap).collect()
+    """(snapshot, latest delivery as text) in order: one row per snapshot, whatever the table's size. As text, an instant means the same
+    in every time zone."""
+    rows = df.where(F.col(snap).isNotNull()).groupBy(snap).agg(F.max(delivered).cast("string").alias("d")).orderBy(snap).collect()
     return [(r[snap], r["d"]) for r in rows]
 
 
+def of_delivery(delivery: tuple, snap: Column, delivered: Column) -> Column:
+    """Whether a row belongs to a delivery of snapshot_order."""
+    return (snap == F.lit(delivery[0])) & delivered.cast("string").eqNullSafe(F.lit(delivery[1]))
+
+
+def latest_deliveries(df: DataFrame, order: list[tuple], snap: str = "snap_no", delivered: str = "delivered_at") -> DataFrame:
+    """Rows of the latest delivery of each snapshot."""
+    kept = F.lit(False)
+    for delivery in order:
+        kept = kept | of_delivery(delivery, F.col(snap), F.col(delivered))
+    return df.where(kept)
+
+
 def _runs(keys: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted distinct keys, their hash, and whether a key has several hashes."""
     order = np.lexsort((hashes, keys))
@@ -107,10 +121,7 @@ def target_changes(targets: DataFrame) -> DataFrame:
     if len(order) < 2:
         return spark.createDataFrame([], "snap_no int, target_id bigint, file_path string, change_kind string")
     ords = _lookup([(s, i) for i, (s, _) in enumerate(order)], F.col("snap_no"))
-    latest = F.lit(False)
-    for s, d in order:
-        latest = latest | ((F.col("snap_no") == s) & (F.col("delivered_at") == F.lit(d).cast(targets.schema["delivered_at"].dataType)))
-    valid = targets.where(latest & F.col("id").isNotNull()).withColumn("ord", ords)
+    valid = latest_deliveries(targets, order).where(F.col("id").isNotNull()).withColumn("ord", ords)
     entries = monitor_entries(valid)
     n_entries = valid.agg(F.sum(F.lit(1) + F.greatest(F.lit(0), F.coalesce(F.size("last_manifest"), F.lit(0)))).alias("n")).first()["n"] or 0
     key = F.xxhash64("id", "path")

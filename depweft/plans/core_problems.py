@@ -9,11 +9,11 @@ from depweft.functions.text import digest_norm, instant_us, month_of_us, ntz_us
 from depweft.operators.eager_join import distinct_per_key, eager_join_rollup
 from depweft.operators.incremental import latest_by, pending
 from depweft.operators.refcheck import orphan_states, reference_groups
-from depweft.operators.snapshots import target_changes
+from depweft.operators.snapshots import of_delivery, snapshot_order, target_changes
 from depweft.session import tables
 
-#: Share of all rows from which on a target counts as hot.
-HOT_SHARE = 0.025
+#: A target is hot if it holds one of so many parts of all rows (2.5 %), in whole numbers so that the border is exact.
+HOT_PARTS = 40
 
 
 def node_states(nodes: DataFrame) -> DataFrame:
@@ -42,7 +42,7 @@ def target_totals(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     edges, nodes = tables(spark, d, "edges", "nodes")
     total = edges.count()
-    return target_totals(edges, nodes).where(F.col("n_edges") >= F.lit(HOT_SHARE) * F.lit(total)).select("target_key")
+    return target_totals(edges, nodes).where(F.col("n_edges") * HOT_PARTS >= F.lit(total)).select("target_key")
 
 
 def p1_target_stats(spark: SparkSession, d: str) -> DataFrame:
@@ -97,10 +97,10 @@ def event_references(events: DataFrame) -> DataFrame:
 def target_parents(targets: DataFrame) -> DataFrame:
     """Ids of targets; gone are those not in the latest delivery of the last snapshot."""
     rows = targets.where(F.col("id").isNotNull()).groupBy(F.col("id").cast("string").alias("key")).agg(F.max(F.struct("snap_no", "delivered_at")).alias("last"))
-    newest = targets.agg(F.max(F.struct("snap_no", "delivered_at")).alias("m")).first()["m"]
-    if newest is None or newest["snap_no"] is None:
+    order = snapshot_order(targets, "snap_no", "delivered_at")
+    if not order:
         return rows.select("key", F.lit(None).cast("bigint").alias("known_us"), F.lit(True).alias("gone"))
-    there = (F.col("last.snap_no") == newest["snap_no"]) & F.col("last.delivered_at").eqNullSafe(F.lit(newest["delivered_at"]).cast(targets.schema["delivered_at"].dataType))
+    there = of_delivery(order[-1], F.col("last.snap_no"), F.col("last.delivered_at"))
     return rows.select("key", F.lit(None).cast("bigint").alias("known_us"), (~F.coalesce(there, F.lit(False))).alias("gone"))
 
 

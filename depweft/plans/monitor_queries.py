@@ -9,7 +9,7 @@ from depweft.functions.text import digest_norm, instant_us, month_of_us, posix_p
 from depweft.operators import monitor
 from depweft.operators.incremental import latest_by
 from depweft.operators.notes import NOTE, fresh_notes, plan_run
-from depweft.operators.snapshots import snapshot_order, target_changes
+from depweft.operators.snapshots import latest_deliveries, snapshot_order, target_changes
 from depweft.plans.core_problems import _CURRENT, _UTC, node_states, settings_in_force
 from depweft.plans.core_problems import SQL as CORE_SQL
 from depweft.session import tables
@@ -19,20 +19,15 @@ LAST = 100
 
 
 def valid_targets(spark: SparkSession, d: str) -> DataFrame:
-    """Rows of each snapshot's latest delivery, one per target."""
+    """Rows of each snapshot's latest delivery."""
     (targets,) = tables(spark, d, "targets")
-    latest = F.lit(False)
-    kind = targets.schema["delivered_at"].dataType
-    for snap, at in snapshot_order(targets, "snap_no", "delivered_at"):
-        latest = latest | ((F.col("snap_no") == snap) & (F.col("delivered_at") == F.lit(at).cast(kind)))
-    return targets.where(latest & F.col("id").isNotNull())
+    return latest_deliveries(targets, snapshot_order(targets, "snap_no", "delivered_at")).where(F.col("id").isNotNull())
 
 
 def current_targets(spark: SparkSession, d: str) -> DataFrame:
     """Targets of the last snapshot, one row each: the small columns."""
     (targets,) = tables(spark, d, "targets")
-    snap, at = snapshot_order(targets, "snap_no", "delivered_at")[-1]
-    rows = targets.where((F.col("snap_no") == snap) & (F.col("delivered_at") == F.lit(at).cast(targets.schema["delivered_at"].dataType)) & F.col("id").isNotNull())
+    rows = latest_deliveries(targets, snapshot_order(targets, "snap_no", "delivered_at")[-1:]).where(F.col("id").isNotNull())
     names = ("target", "kind", "interval_seconds", "next_check", "checked_at", "last_state", "algorithm")
     return rows.groupBy("id").agg(F.max(F.struct(*names)).alias("t")).select("id", *(f"t.{n}" for n in names))
 
@@ -68,13 +63,11 @@ def unchanged_files(spark, d):
     """Files with the same marker in the first and the last snapshot."""
     (targets,) = tables(spark, d, "targets")
     order = snapshot_order(targets, "snap_no", "delivered_at")
-    kind = targets.schema["delivered_at"].dataType
 
-    def entries(snap, at) -> DataFrame:
-        rows = targets.where((F.col("snap_no") == snap) & (F.col("delivered_at") == F.lit(at).cast(kind)))
-        return rows.select("id", F.explode("last_manifest").alias("path", "marker")).select("id", posix_path(F.col("path")).alias("path"), F.lower("marker").alias("marker")).distinct()
+    def entries(delivery: tuple) -> DataFrame:
+        return latest_deliveries(targets, [delivery]).select("id", F.explode("last_manifest").alias("path", "marker")).select("id", posix_path(F.col("path")).alias("path"), F.lower("marker").alias("marker")).distinct()
 
-    return entries(*order[0]).intersect(entries(*order[-1]))
+    return entries(order[0]).intersect(entries(order[-1]))
 
 
 def manifest_hashes(spark, d):
