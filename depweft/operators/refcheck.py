@@ -52,11 +52,11 @@ def maybe_in(refs: DataFrame, key: str, bloom: DataFrame, blocks: int) -> DataFr
 
 
 def reference_groups(refs: DataFrame) -> DataFrame:
-    """One row per (field, key, month): number of references, earliest and latest instant.
+    """One row per (field, key, month): number of references and of those with an instant, earliest and latest instant.
 
     refs: field string, key string, us bigint (instant in microseconds), month string.
     """
-    return refs.groupBy("field", "key", "month").agg(F.count(F.lit(1)).alias("n_refs"), F.min("us").alias("first_us"), F.max("us").alias("last_us"))
+    return refs.groupBy("field", "key", "month").agg(F.count(F.lit(1)).alias("n_refs"), F.count("us").alias("n_dated"), F.min("us").alias("first_us"), F.max("us").alias("last_us"))
 
 
 def orphan_states(groups: DataFrame, parents: DataFrame, max_blocks: int = MAX_BLOCKS) -> DataFrame:
@@ -75,3 +75,16 @@ def orphan_states(groups: DataFrame, parents: DataFrame, max_blocks: int = MAX_B
     state = F.when(F.col("__there").isNull(), "missing").when(F.col("gone"), "deleted").when(F.col("first_us") < F.col("known_us"), "late")
     exact = probed.where("maybe").drop("maybe").join(p, "key", "left").withColumn("state", state).where(F.col("state").isNotNull())
     return sure.unionByName(exact.drop("__there", "gone"))
+
+
+def exact_late_counts(states: DataFrame, refs: DataFrame) -> DataFrame:
+    """states with n_refs of late groups reduced to the references that are older than their key's first delivery.
+
+    Where a whole group is older its count holds; only groups that the delivery falls into, or with references without instant, look at
+    their references again.
+    """
+    mixed = (F.col("state") == "late") & ((F.col("last_us") >= F.col("known_us")) | (F.col("n_dated") < F.col("n_refs")))
+    split = states.where(mixed).select("field", "key", "month", "known_us")
+    older = refs.join(split, ["field", "key", "month"]).where(F.col("us") < F.col("known_us"))
+    counts = older.groupBy("field", "key", "month").agg(F.count(F.lit(1)).alias("__n"))
+    return states.join(counts, ["field", "key", "month"], "left").withColumn("n_refs", F.coalesce("__n", "n_refs")).drop("__n")

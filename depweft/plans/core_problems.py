@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from depweft.functions.text import digest_norm, instant_us, month_of_us, ntz_us
 from depweft.operators.eager_join import distinct_per_key, eager_join_rollup
 from depweft.operators.incremental import latest_by, pending
-from depweft.operators.refcheck import orphan_states, reference_groups
+from depweft.operators.refcheck import exact_late_counts, orphan_states, reference_groups
 from depweft.operators.snapshots import of_delivery, snapshot_order, target_changes
-from depweft.session import tables
+from depweft.session import cut, tables
 
 #: A target is hot if it holds one of so many parts of all rows (2.5 %), in whole numbers so that the border is exact.
 HOT_PARTS = 40
@@ -116,8 +116,10 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_report(spark: SparkSession, d: str) -> DataFrame:
-    """Per field, month and state: keys, and references of these keys in the month."""
-    return orphans(spark, d).groupBy(F.col("field").alias("ref_field"), F.col("month").alias("ref_month"), F.col("state").alias("ref_state")).agg(F.count(F.lit(1)).alias("n_keys"), F.sum("n_refs").alias("n_refs"))
+    """Per field, month and state: orphaned keys and the references to them; of late keys only the references that came too early."""
+    edges, file_types, notes = tables(spark, d, "edges", "file_types", "ai_notes")
+    exact = exact_late_counts(cut(orphans(spark, d)), key_references(edges, file_types, notes))
+    return exact.groupBy(F.col("field").alias("ref_field"), F.col("month").alias("ref_month"), F.col("state").alias("ref_state")).agg(F.count(F.lit(1)).alias("n_keys"), F.sum("n_refs").alias("n_refs"))
 
 
 # ---- problem 5 ----------------------------------------------------------------------------------------------------
@@ -169,7 +171,7 @@ refs AS (
   UNION ALL SELECT 'file_types.key', key, loaded_at FROM file_types
   UNION ALL SELECT 'ai_notes.node_key', node_key, {_UTC.format("updated_at")} FROM ai_notes),
 node_orphans AS (
-  SELECT f, k, strftime(t, '%Y-%m') AS m, CASE WHEN s.key IS NULL THEN 'missing' WHEN g.key IS NOT NULL THEN 'deleted' WHEN min(t) < s.known_at THEN 'late' END AS st, count(*) AS n
+  SELECT f, k, strftime(t, '%Y-%m') AS m, CASE WHEN s.key IS NULL THEN 'missing' WHEN g.key IS NOT NULL THEN 'deleted' WHEN min(t) < s.known_at THEN 'late' END AS st, CASE WHEN s.key IS NOT NULL AND g.key IS NULL THEN count(*) FILTER (t < s.known_at) ELSE count(*) END AS n
   FROM refs LEFT JOIN seen s ON s.key = k LEFT JOIN gone g ON g.key = k
   WHERE k IS NOT NULL AND NOT starts_with(k, 'dir:')
   GROUP BY f, k, strftime(t, '%Y-%m'), s.key, g.key, s.known_at),

@@ -14,7 +14,7 @@ from depweft.functions.text import digest_norm, instant_us, month_of_us, ntz_us,
 from depweft.operators.eager_join import distinct_per_key, eager_join_rollup
 from depweft.operators.incremental import VersionedTarget, latest_by, pending, run_once
 from depweft.operators.ordered import last_before, ordered_blocks
-from depweft.operators.refcheck import bloom_blocks, maybe_in, orphan_states, reference_groups
+from depweft.operators.refcheck import bloom_blocks, exact_late_counts, maybe_in, orphan_states, reference_groups
 from depweft.operators.snapshots import changed_keys, differing_keys, target_changes
 from depweft.plans.core_problems import notes_to_do
 
@@ -164,6 +164,9 @@ def test_orphans_equal_brute_force_whatever_the_filter(spark, max_blocks):
         elif know[k][0] is not None and any(u is not None and u < know[k][0] for u in us):
             want.add((k, m, "late", len(us)))
     assert got == want
+    states = orphan_states(groups, spark.createDataFrame(parents, "key string, known_us bigint, gone boolean"), max_blocks)
+    exact = {(x["key"], x["month"]): x["n_refs"] for x in exact_late_counts(states, spark.createDataFrame(refs, "field string, key string, us bigint, month string")).where("state = 'late'").collect()}
+    assert exact == {(k, m): sum(u is not None and u < know[k][0] for u in by[k, m]) for k, m, s, _ in want if s == "late"}
     none = spark.createDataFrame([], "key string, known_us bigint, gone boolean")
     assert {x["state"] for x in orphan_states(groups, none).collect()} == {"missing"}
     assert orphan_states(groups.limit(0), none).count() == 0
