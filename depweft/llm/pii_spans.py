@@ -64,6 +64,8 @@ _VEILED_DOMAIN = re.compile(rf"[\w-]+(?:(?:\.|{_DOT})[\w-]+)+")
 LOCAL_CHARS = 120
 _GAP = "   "
 _PHONE = re.compile(rf"(?<![\w.+/#@:-])(?<!\d[{_GAP}])(?:\+\d|00\d|\(\+?\d|\d)[\d{_GAP}().\-/‐-–]{{4,22}}\d(?![\w@]|[-/.:]\w)")
+#: A number with decimal places is no phone number.
+_DECIMAL = re.compile(r"\d{1,3}\.\d{4,}")
 _IDS = [
     (0, re.compile(r"(?<![\w.-])\d{8}[- ]?[A-Z](?![\w-])|(?<![\w.-])\d{8}-?[a-z](?![\w-])")),
     (1, re.compile(r"(?<![\w.-])\d{2}[. ]\d{3}[. ]\d{3}[- ]?[A-Za-z](?![\w-])")),
@@ -124,8 +126,8 @@ def emails(text: str) -> Iterator[tuple[int, int, int]]:
 
 def phones(text: str) -> Iterator[tuple[int, int, int]]:
     for m in _PHONE.finditer(text):
-        digits = sum(c.isdigit() for c in m.group())
-        if 7 <= digits <= 16:
+        found = m.group()
+        if 7 <= sum(map(str.isdigit, found)) <= 16 and not _DECIMAL.fullmatch(found):
             yield m.start(), m.end(), 0
 
 
