@@ -315,7 +315,7 @@ def features(kind: str, text: str, a: int, b: int, form: int, vocabulary: Vocabu
     earlier = _words(text[max(0, line_start - 40) : max(0, line_start - 1)])[::-1] if not before.strip(" \t#/*-") else []
     around = [
         _nearest(bw, _CUE_SETS[kind]), _nearest(aw, _CUE_SETS_AFTER[kind]), _nearest(bw, AGAINST), _nearest(aw, AGAINST), _nearest(earlier, _CUE_SETS[kind]),
-        max(_nearest(bw, _CUE_SETS[k]) for k in KINDS if k != kind), _char_class(text, a - 1), _char_class(text, b), float(a == line_start), float(b == line_end), float(alone), float(before.rstrip(" \t\"'").endswith(("=", ":"))),
+        _char_class(text, a - 1), _char_class(text, b), float(a == line_start), float(b == line_end), float(alone), float(before.rstrip(" \t\"'").endswith(("=", ":"))),
     ]
     return around + _own_features(kind, text, a, b, form, vocabulary)
 
