@@ -46,7 +46,7 @@ def _case(column: Column, pairs: dict[str, str]) -> Column:
 
 
 def _under(folder: Column, spec: Column) -> Column:
-    return keys.normal_path(F.concat_ws("/", folder, spec))
+    return F.concat_ws("/", folder, spec)
 
 
 def bases(aliases: dict[str, str]) -> Column:
@@ -73,7 +73,7 @@ def bases(aliases: dict[str, str]) -> Column:
         .when(mode == "read", F.array(_under(here, value), _under(F.lit(""), value)))
         .otherwise(F.array().cast("array<string>"))
     )
-    return (
+    options = (
         F.when(mode == "python", python)
         .when(mode.isin("package", "web", "resource", "semantic", "read"), web)
         .when(mode == "perl-module", F.array(_under(here, perl)))
@@ -82,6 +82,8 @@ def bases(aliases: dict[str, str]) -> Column:
         .when(mode.isin("npm", "pip", "cargo"), F.array().cast("array<string>"))
         .otherwise(source)
     )
+    # Normalised once, whatever the mode: the plan holds the walk over path segments a single time.
+    return F.transform(options, keys.normal_path)
 
 
 def resolved(refs: DataFrame, inventory: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
