@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from depweft.functions.text import digest_norm, instant_us, month_of_us, ntz_us
@@ -125,9 +125,14 @@ def p4_report(spark: SparkSession, d: str) -> DataFrame:
 # ---- problem 5 ----------------------------------------------------------------------------------------------------
 
 
+def run_in_force(runs: DataFrame, *columns: str) -> Row | None:
+    """run_id and the given columns of the run with the greatest run_id; None if there is no run."""
+    return runs.where(F.col("run_id").isNotNull()).agg(F.max(F.struct("run_id", *columns)).alias("m")).first()["m"]
+
+
 def settings_in_force(runs: DataFrame) -> str | None:
     """The settings of the greatest run_id; null if there is no run."""
-    row = runs.where(F.col("run_id").isNotNull()).agg(F.max(F.struct("run_id", "settings_hash")).alias("m")).first()["m"]
+    row = run_in_force(runs, "settings_hash")
     return row and row["settings_hash"]
 
 

@@ -10,7 +10,7 @@ from depweft.operators import monitor
 from depweft.operators.incremental import latest_by
 from depweft.operators.notes import NOTE, fresh_notes, plan_run
 from depweft.operators.snapshots import latest_deliveries, snapshot_order, target_changes
-from depweft.plans.core_problems import _CURRENT, _UTC, node_states, settings_in_force
+from depweft.plans.core_problems import _CURRENT, _UTC, node_states, run_in_force
 from depweft.plans.core_problems import SQL as CORE_SQL
 from depweft.session import tables
 
@@ -149,10 +149,11 @@ def fresh_note_keys(spark, d):
 
 
 def note_run_plan(spark, d):
-    """The first 500 keys of a run that tries failed notes again."""
+    """Keys of a run that tries failed notes again, under the settings and the bound of files (0: none) of the run in force."""
     (runs,) = tables(spark, d, "note_runs")
+    force = run_in_force(runs, "settings_hash", "max_files")
     todo = _versions(spark, d).where((F.col("kind") == "file") & (F.col("status") == "done") & F.col("version").isNotNull()).select("id", "key", "depth", "version")
-    return plan_run(todo, _latest_notes(spark, d), settings_in_force(runs), retry_failed=True, max_files=500).select("id", "key")
+    return plan_run(todo, _latest_notes(spark, d), force and force["settings_hash"], retry_failed=True, max_files=(force and force["max_files"]) or 0).select("id", "key")
 
 
 def note_fields(spark, d):
