@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import random
 
-from depweft.llm.pii_spans import DNI_LETTERS
+from depweft.llm.pii_spans import DNI_LETTERS, check_digit
 
 _STARTS = "Bar Cel Dor Fen Gal Hol Iv Jas Kel Lor Mav Nim Or Pol Quen Ras Sil Tor Ul Ver Wil Xan Yor Zel Ál Ös Üm Ka Ro Mi".split()
 _MIDS = "a an el em i il o or u ul en ar é ö in as".split()
@@ -24,7 +24,7 @@ _CARRIERS = {
     ],
     "email": ["contact: {x}", "Write to {x} if it breaks.", "mailto={x}", "mailto:{x}", "Escribir a {x} para pedir acceso.", "cc {x}; the rest stays", "The log was sent to <{x}>.", 'maintainer "{x}"', "reach me under {x} please", "{x}", "reply to {x}.", "e-mail : {x}", "Mail an {x} genügt.", "écrire à {x}, merci", "({x})", "Reported by {x}."],
     "phone": ["Call {x} after six.", "Teléfono {x} (tardes)", "tel: {x}", "phone={x};", "sms to {x}", "The pager is {x}.", "My desk line, {x}, is open.", "joignable au {x}", "Rückruf unter {x} erbeten", "{x}", "móvil {x}", "Tel. {x}", "Mobile: {x}", "fax {x}", "llamar al {x}", "ring {x} or write", 'phone = "{x}"', "Tél. : {x}"],
-    "id": ["DNI: {x}", "NIF {x}", "con DNI {x}, según el alta", "NIE {x}", "su NIE es {x}", "national_id = '{x}'", "id card: {x}", "Identity document {x} was uploaded by mistake.", "The form shows SSN {x}.", "ssn={x}", "social security no. {x}", "insurance number {x} on file", "NI no. {x}", "Pasaporte {x}", "passport no. {x}", "{x} is the number on the card", "su documento es {x}", "{x}", "Ausweis {x}", "numéro de sécurité sociale {x}", "residence permit {x}", "tax id {x}", "Steuernummer: {x}"],
+    "id": ["DNI: {x}", "NIF {x}", "con DNI {x}, según el alta", "NIE {x}", "su NIE es {x}", "national_id = '{x}'", "id card: {x}", "Identity document {x} was uploaded by mistake.", "The form shows SSN {x}.", "ssn={x}", "social security no. {x}", "insurance number {x} on file", "NI no. {x}", "Pasaporte {x}", "passport no. {x}", "{x} is the number on the card", "su documento es {x}", "{x}", "Ausweis {x}", "numéro de sécurité sociale {x}", "residence permit {x}", "tax id {x}", "Steuernummer: {x}", "Personalausweis {x}", "Reisepass {x}", "Passeport {x}", "carte d'identité {x}"],
     "address": ["Our office moved to {x}.", "I live at {x}, ground door.", "Ship the unit to {x}.", "Dirección: {x}", "adresse : {x}", "Treffpunkt ist {x}.", 'deliver_to = "{x}"', "{x}", "vivo en {x}", "Anschrift: {x}", "send it to {x} please", "Address: {x}", "({x})", "j'habite {x}"],
 }
 _LEADS = ["", "", "", "", "# ", "// ", "- ", "* ", "<p>", "[10:22] dev> ", "/* ", "<!-- ", "Summary: ", "+    ", '    """']
@@ -35,6 +35,7 @@ _FALSE = [
     "job +{n} {d3} {d7} restarted", "job +{n} {d3} {d6} restarted", "Order {d3} {d3} {d4} of the list.", "Order {d2} {d3} {d4} of the list.", "Order {d3} {d2} {d4} of the list", "Ticket 2026-{d3}-{d4} is closed.", "Build {d3}-{d2}-{d3} failed at the step", "Checked at 2026-0{d1}-1{d1} 1{d1}:3{d1}:2{d1}, {d6} rows.", "listening on 0.0.0.0:{d4} with timeout {d2}-{d2}-{d3}", "timeout {d2}-{d2}-{d3}", "Lote {d3} {d3} {d4} recibido",
     "Part no. {d8}{L} is out of stock.", "serial ZZ-{d5}-{d2} of the unit", "batch {d3}-{d2}-{d4} of the rows", "batch 9{d2}-{d2}-{d4} of the rows", "part number {L}{L}{d7}", "Pieza {d8}{L} agotada", "invoice {L}{L}{d6}", "sku {d8}-{L}", "request id {h8}-{h4}-{h4}-{h4}-{h8}{h4}", "digest {h8}{h8}", "the digest {d9}{d3} belongs to the {t}", "la huella {d9}{d3} del archivo", "hash {d9}{d3}", "l'empreinte {d9}{d3} du fichier", "commit {h8}", "{d2}.{d6}, {d2}.{d6}, {d2}.{d6},", "0x{h8}, 0x{h8}", "The buffer starts at address 0x{h8}, page {n}.", "version {n}.{n}.{n}.{n}", "1{d9}", "rows {d7}",
     "path /srv/{t}/{n}/report.log", "See page {n} of the {t} guide.", "DO NOT EDIT.", "All rights reserved. Copyright 2026 the {t} team.", "AUTO-GENERATED FILE - regenerate with `make {t}`", "Room {n} Main Street View", "{n} {T} Street is a chapter of the guide", "serie {d8}{L} del lote",
+    "Part no. {M} is out of stock.", "part number {M}", "Pieza {M} agotada", "serial {M} of the unit", "serie {M} del lote", "batch {M} of the rows", "sku {M}", "Artikel {M} fehlt", "order {M} of the list", "ticket {M} is closed.", "invoice {M}", "{C} = {n}", "Use {C} for the {t}.", "the {t} reads {C} first",
 ]
 
 
@@ -112,9 +113,17 @@ class Maker:
         ni = r.choice(["QQ", "QQ", "AB", "JK"])
         return r.choice(
             [number + letter, f"{number}-{letter}", number + letter.lower(), split.format(".") + "-" + letter, split.format(" ") + " " + letter, first + seven + nie, f"{first}-{seven}-{nie}", f"{ni} {d(2)} {d(2)} {d(2)} {r.choice('ABCD')}", f"{ni}{d(6)}{r.choice('ABCD')}",
-             f"9{d(2)}-{d(2)}-{d(4)}", f"9{d(2)}-{d(2)}-{d(4)}", f"9{d(2)} {d(2)} {d(4)}", f"ZZ{d(7)}", f"ZZ{d(7)}", f"{r.choice('ABCXYZ')}{r.choice('ABCXYZ')}{r.choice('ABC')}{d(6)}"]
+             f"9{d(2)}-{d(2)}-{d(4)}", f"9{d(2)}-{d(2)}-{d(4)}", f"9{d(2)} {d(2)} {d(4)}", f"ZZ{d(7)}", f"ZZ{d(7)}", f"{r.choice('ABCXYZ')}{r.choice('ABCXYZ')}{r.choice('ABC')}{d(6)}", self.mixed(), self.mixed()]
         )
 
+    def mixed(self) -> str:
+        """Letters and digits mixed, as on German, Italian, French and Dutch documents."""
+        r, d = self.r, self.digits
+        some = lambda n: "".join(r.choice(r.choice(["0123456789", "CFGHJKLMNPRTVWXYZ"])) for _ in range(n))
+        upper = lambda n: "".join(r.choice("ABCDEFGHJKLMNPRSTUVWXYZ") for _ in range(n))
+        german = r.choice("CFGHJKLMNPRTVWXYZ") + some(6) + d(2)
+        return r.choice([german, german, german + check_digit(german), german + check_digit(german), f"{r.choice('CFGHJKLMNPRTVWXYZ')}{d(2)}{upper(1)}{d(2)}{upper(1)}{d(2)}", f"C{upper(1)}{d(5)}{upper(2)}", f"{d(2)}{upper(2)}{d(5)}", f"{upper(2)}{some(6)}{d(1)}"])
+
     def town(self) -> str:
         r = self.r
         one = r.choice(_STARTS) + r.choice(_MIDS) + r.choice(_TOWN_ENDS)
@@ -131,7 +140,7 @@ class Maker:
     def false(self) -> str:
         r, out = self.r, r_choice(self.r, _FALSE)
         for mark, make in (
-            ("{T}", lambda: r.choice(self.topics).capitalize()), ("{t}", lambda: r.choice(self.topics)), ("{F}", self._word), ("{D}", self.domain), ("{n}", lambda: str(r.randint(0, 97))), ("{L}", lambda: r.choice("ABCDEFGHJKLMNPQRSTVWXYZ")),
+            ("{M}", self.mixed), ("{C}", lambda: (r.choice(self.topics) * 3).upper()[: r.randint(6, 8)] + self.digits(2)), ("{T}", lambda: r.choice(self.topics).capitalize()), ("{t}", lambda: r.choice(self.topics)), ("{F}", self._word), ("{D}", self.domain), ("{n}", lambda: str(r.randint(0, 97))), ("{L}", lambda: r.choice("ABCDEFGHJKLMNPQRSTVWXYZ")),
             *((f"{{d{k}}}", lambda k=k: self.digits(k)) for k in range(1, 10)), *((f"{{h{k}}}", lambda k=k: "".join(r.choice("0123456789abcdef") for _ in range(k))) for k in (4, 8)),
         ):
             while mark in out:

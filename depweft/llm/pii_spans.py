@@ -76,6 +76,12 @@ _IDS = [
     (6, re.compile(r"(?<![\w.+-])[12] ?\d{2} ?\d{2} ?\d{2} ?\d{3} ?\d{3}(?: ?\d{2})?(?![\w-])")),
     (7, re.compile(r"(?<![\w.+-])\d{2} ?\d{3} ?\d{3} ?\d{3}(?![\w-])|(?<![\w.+-])\d{9}(?![\w-])")),
 ]
+# Numbers of letters and digits mixed, as German, French or Italian cards and passports have; the sign looked for first is a plain
+# class, so that the scan of a whole text is fast.
+_MIXED_IDS = [
+    (8, re.compile(r"[A-Z](?<![\w.+-][A-Z])(?=[A-Z0-9]{8,9}(?![\w-]))[A-Z]*\d[A-Z0-9]*")),
+    (9, re.compile(r"\d(?<![\w.+-]\d)\d[A-Z]{2}\d{5}(?![\w-])")),
+]
 _U = "A-ZÀ-ÖØ-ÞŁŚŠŽ"
 _L = "a-zß-öø-ÿœłśšž"
 _CAP = rf"(?:(?:Mc|Mac|O['’]|D['’]|d['’]|L['’])?[{_U}][{_L}'’]*[{_L}](?:-(?:[{_U}][{_L}'’]+))*)"
@@ -145,11 +151,15 @@ def _lines_with(pattern: re.Pattern, text: str) -> Iterator[tuple[int, int]]:
 
 
 def ids(text: str) -> Iterator[tuple[int, int, int]]:
-    """Every form has six digits at least; only lines with as many are looked through."""
+    """The forms of _IDS have six digits at least; only lines with as many are looked through for them. Mixed numbers may have a
+    single one and are looked for everywhere."""
     for start, end in _lines_with(_SIX_DIGITS, text):
         for form, p in _IDS:
             for m in p.finditer(text, start, end):
                 yield m.start(), m.end(), form
+    for form, p in _MIXED_IDS:
+        for m in p.finditer(text):
+            yield m.start(), m.end(), form
 
 
 def addresses(text: str) -> Iterator[tuple[int, int, int]]:
@@ -219,6 +229,11 @@ class Vocabulary:
         return out
 
 
+def check_digit(number: str) -> str:
+    """Last digit that machine-readable documents put behind a number (ICAO 9303)."""
+    return str(sum(int(c, 36) * (7, 3, 1)[i % 3] for i, c in enumerate(number)) % 10)
+
+
 # ---- features -------------------------------------------------------------------------------------------------------
 
 _TOKENS = re.compile(r"[\w.'’-]*\w[.]?|[^\w\s]")
@@ -286,6 +301,8 @@ def _own_features(kind: str, text: str, a: int, b: int, form: int, vocabulary: V
             valid = float(DNI_LETTERS[int(f"{number}{digits}") % 23] == letters.upper()[-1:])
         elif form == 4:
             valid = float(digits[0] == "9" or digits[:3] in ("000", "666"))
+        elif form == 8 and len(s) == 10:
+            valid = float(check_digit(s[:9]) == s[9])
         return [form, len(s), len(digits), len(letters), valid, float(letters.isupper()), float(" " in s), float("-" in s), float("." in s), float(letters[:2].upper() in ("QQ", "ZZ", "XX")), float(s[:1].isalpha())]
     tokens = [w for w in re.findall(r"[\w'’.-]+", s) if w[0].isalpha()]
     right = re.match(rf"[ ,]+({_TOKEN})", text[b : b + 40])
