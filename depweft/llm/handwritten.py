@@ -2,7 +2,7 @@
 
 A file is out if a tool writes it, if it was shrunk for delivery, if it is a copy of third-party code, or if it is bulk data in the
 form of code. Each text is lexed, re-emitted in a canonical layout and held against its own layout: extreme expansion marks
-shrunk files, perfect uniformity with numbered names marks generated ones, dominance of literals marks data. What a
+shrunk files, uniformity marks generated ones (with numbered names, or near perfect over many repetitions), dominance of literals marks data. What a
 file's comments say of its origin and where it lies count beside that; for files without text the path alone decides.
 """
 
@@ -22,6 +22,8 @@ from depweft.session import spread
 EXPANSION = 8.0
 #: Share of lines repeated in shape, and of lines with running numbers in a name, from which on a file counts as generated.
 UNIFORM, NUMBERED = 0.7, 0.6
+#: Share of lines repeated in shape from which on a file with many repetitions counts as generated, numbers or not.
+REPEATED = 0.9
 #: Share and number of characters in literals from which on a file counts as data.
 LITERALS, LITERAL_CHARS = 0.75, 200
 #: Words per shingle and similarity from which on a file counts as a copy of a library file.
@@ -110,8 +112,8 @@ def judge(path: str, text: str, index: dict, sizes: dict) -> tuple[bool, bool, b
     """(generated, shrunk, copied, data, kept by hand) of one text."""
     m = layout(path, text)
     said = origin(m.comments)
-    generated = said == "tool" or (said == "" and m.uniformity >= UNIFORM and m.numbered >= NUMBERED)
     shrunk = m.expansion >= EXPANSION
+    generated = said == "tool" or (said == "" and not shrunk and (m.repeated >= REPEATED or m.uniformity >= UNIFORM and m.numbered >= NUMBERED))
     data = m.literal_share >= LITERALS and m.literal_chars >= LITERAL_CHARS
     return generated, shrunk, copied(text, index, sizes), data, said == "hand"
 
