@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from depweft.functions import fixed, keys
@@ -56,6 +56,31 @@ def degrees(edges: DataFrame) -> DataFrame:
     return edges.select(ends.alias("e")).groupBy("e.key").agg(F.sum("e.i").alias("incoming"), F.sum("e.o").alias("outgoing"), F.sum("e.p").alias("produced"))
 
 
+def adjacency(edges: DataFrame) -> DataFrame:
+    """key, view, other, relation, evidence: each use as incoming of its target and outgoing of its source, and what produces a key
+    as its production. Unknown evidence is called unknown."""
+
+    def row(view: str, key: str, other: str) -> Column:
+        return F.struct(F.col(key).alias("key"), F.lit(view).alias("view"), F.col(other).alias("other"))
+
+    use = (F.col("source") != "") & (F.col("target") != "")
+    uses = F.array(row("incoming", "target", "source"), row("outgoing", "source", "target"))
+    views = F.when(production(), F.array(row("production", "target", "source"))).when(use, uses)
+    return edges.where(~structural()).select(F.explode(views).alias("v"), "relation", F.coalesce("evidence", F.lit("unknown")).alias("evidence")).select("v.*", "relation", "evidence")
+
+
+def first_edges(node_keys: DataFrame, edges: DataFrame, most: int = 200) -> DataFrame:
+    """key, direction, n, other, relation, evidence: the first edges of each node either way by the other end and relation, counted
+    from 1, at most so many each way. Tasks keep no more of a key before it is gathered, so hot targets are no burden."""
+    rank = F.row_number().over(Window.partitionBy("key").orderBy("other", "relation"))
+
+    def way(direction: str, key: str, other: str) -> DataFrame:
+        own = edges.select(F.col(key).alias("key"), F.lit(direction).alias("direction"), F.col(other).alias("other"), "relation", "evidence")
+        return own.withColumn("n", rank).where(F.col("n") <= most).join(node_keys.select("key").distinct(), "key", "left_semi")
+
+    return way("outgoing", "source", "target").unionByName(way("incoming", "target", "source")).select("key", "direction", "n", "other", "relation", "evidence")
+
+
 def audit_classes(node_keys: DataFrame, edges: DataFrame) -> DataFrame:
     """key, class of every file. Produced files without consumers have a class for that besides their own."""
     d = node_keys.where(F.col("key").startswith("file:")).select("key").join(degrees(edges), "key", "left")

@@ -14,8 +14,8 @@ from depweft.operators.snapshots import snapshot_order
 from depweft.plans.core_problems import _CURRENT, node_states
 from depweft.plans.graph_queries import _WITH, load
 from depweft.plans.graph_queries import SQL as GRAPH_SQL
+from depweft.plans.monitor_queries import _VERSIONS, _latest_notes, _versions, valid_targets
 from depweft.plans.monitor_queries import SQL as MONITOR_SQL
-from depweft.plans.monitor_queries import valid_targets
 from depweft.plans.text_queries import file_texts
 from depweft.session import checkpoint_dir, tables
 from depweft.sources.tree import read_tree
@@ -109,7 +109,28 @@ def adjacency(spark, d):
     return graph.degrees(edges).where("incoming > 0 AND outgoing > 0")
 
 
-_ALL = (text_diffs, tree_files, incremental_runs, monitor_stream, export_nodes, export_edges, export_note_lines, export_manifest, leak_check, adjacency)
+def adjacency_views(spark, d):
+    """The incoming, outgoing and production edges of every key."""
+    return graph.adjacency(load(spark, d)[1])
+
+
+def node_edges(spark, d):
+    """The first edges of each node either way."""
+    return graph.first_edges(*load(spark, d))
+
+
+def node_facts(spark, d):
+    """Per node its file type with evidence and candidates, and the valid note on its present content."""
+    (types,) = tables(spark, d, "file_types")
+    fields = ("category", "language", "analyzer", "evidence", "candidates")
+    last = F.max(F.struct("loaded_at", *(F.lower(F.trim(c)).alias(c) if c == "category" else c for c in fields))).alias("t")
+    typed = types.where(F.col("key").isNotNull()).groupBy("key").agg(last).select("key", "t.category", F.col("t.language").alias("language"), "t.analyzer", F.col("t.evidence").alias("type_evidence"), "t.candidates")
+    done = _latest_notes(spark, d).where((F.col("state") == "done") & F.col("note_json").isNotNull())
+    notes = done.select("key", "version", "note_json", F.col("model").alias("note_model"), F.col("language").alias("note_language"))
+    return _versions(spark, d).select("key", "version").join(typed, "key", "left").join(notes, ["key", "version"], "left").drop("version")
+
+
+_ALL = (text_diffs, tree_files, incremental_runs, monitor_stream, export_nodes, export_edges, export_note_lines, export_manifest, leak_check, adjacency, adjacency_views, node_edges, node_facts)
 QUERIES = {f.__name__: f for f in _ALL}
 
 _SOURCE = "SELECT key, regexp_replace(lower(trim(digest)), '^sha256:', '') AS version FROM {0} WHERE kind = 'file' AND status = 'done' AND digest IS NOT NULL"
@@ -125,4 +146,12 @@ UNION ALL SELECT 2, (SELECT count(*) FROM e WHERE {_USE}) UNION ALL SELECT 4, (S
     "export_manifest": "SELECT substr(node_key, 6) AS path, sha256(text) AS sha256 FROM documents WHERE starts_with(node_key, 'file:') AND text IS NOT NULL",
     "leak_check": "SELECT substr(node_key, 6) AS name FROM documents WHERE starts_with(node_key, 'file:') AND regexp_matches(text, '(?i)(?:[A-Za-z]:\\\\(?:Users|Usuarios)\\\\|-----BEGIN (?:RSA |OPENSSH )?PRIVATE KEY-----)')",
     "adjacency": f"{_WITH}, d AS (SELECT key, sum(i)::BIGINT AS incoming, sum(o)::BIGINT AS outgoing, sum(p)::BIGINT AS produced FROM (SELECT target AS key, CASE WHEN relation NOT IN ('contains', 'generates', 'produces', 'writes-output') THEN 1 ELSE 0 END AS i, 0 AS o, CASE WHEN relation IN ('generates', 'produces', 'writes-output') THEN 1 ELSE 0 END AS p FROM e UNION ALL SELECT source, 0, CASE WHEN relation NOT IN ('contains', 'generates', 'produces', 'writes-output') THEN 1 ELSE 0 END, 0 FROM e) GROUP BY key) SELECT * FROM d WHERE incoming > 0 AND outgoing > 0",
+    "adjacency_views": f"""{_WITH}, u AS (SELECT source, target, relation, coalesce(evidence, 'unknown') AS evidence, relation IN ('generates', 'produces', 'writes-output') AS made FROM e WHERE relation <> 'contains')
+SELECT target AS key, CASE WHEN made THEN 'production' ELSE 'incoming' END AS view, source AS other, relation, evidence FROM u WHERE made OR (source <> '' AND target <> '') UNION ALL SELECT source, 'outgoing', target, relation, evidence FROM u WHERE NOT made AND source <> '' AND target <> ''""",
+    "node_edges": f"""{_WITH}, w AS (SELECT source AS key, 'outgoing' AS direction, target AS other, relation, evidence FROM e UNION ALL SELECT target, 'incoming', source, relation, evidence FROM e)
+SELECT * FROM (SELECT key, direction, row_number() OVER (PARTITION BY key, direction ORDER BY other, relation) AS n, other, relation, evidence FROM w WHERE key IN (SELECT key FROM current_nodes)) WHERE n <= 200""",
+    "node_facts": f"""WITH {_VERSIONS}, typed AS (SELECT * FROM (SELECT key, lower(trim(category)) AS category, language, analyzer, evidence, candidates,
+  row_number() OVER (PARTITION BY key ORDER BY loaded_at DESC NULLS LAST, lower(trim(category)) DESC NULLS LAST, language DESC NULLS LAST, analyzer DESC NULLS LAST, evidence DESC NULLS LAST, candidates DESC NULLS LAST) AS rn FROM file_types) WHERE rn = 1)
+SELECT ver.key, t.category, t.language, t.analyzer, t.evidence AS type_evidence, t.candidates, n.note_json, n.model AS note_model, n.language AS note_language
+FROM ver LEFT JOIN typed t ON t.key = ver.key LEFT JOIN notes n ON n.node_key = ver.key AND n.version = ver.version AND n.state = 'done' AND n.note_json IS NOT NULL""",
 }

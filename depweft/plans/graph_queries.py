@@ -232,7 +232,7 @@ def public_edges(spark, d):
 
 
 def node_details(spark, d):
-    """Per node its type, edge counts and first edges either way (200 at most, in order)."""
+    """Per node its type, edge counts, the least key either way, and its folder; node_edges and node_facts have the rest."""
     nodes, edges = load(spark, d)
     (types,) = tables(spark, d, "file_types")
     typed = types.where(F.col("key").isNotNull()).groupBy("key").agg(F.max(F.struct("loaded_at", F.lower(F.trim("category")).alias("category"), "language")).alias("t")).select("key", "t.category", "t.language")
