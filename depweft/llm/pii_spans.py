@@ -60,12 +60,12 @@ _PLAIN_MAIL = re.compile(r"(?<![\w.+%@/-])[\w%+][\w.%+'-]{0,63}@[\w-]+(?:\.[\w-]
 _VEIL = re.compile(rf"{_AT}(?=[\w-]+(?:\.|{_DOT})[\w-])")
 _VEILED_LOCAL = re.compile(rf"(?:^|(?<=[^\w.+%@/-]))[\w%+][\w%+-]*(?:(?:\.|{_DOT})[\w%+-]+)*$")
 _VEILED_DOMAIN = re.compile(rf"[\w-]+(?:(?:\.|{_DOT})[\w-]+)+")
-#: Characters before the sign that are looked at for the first part of an address; no first part may be longer than 64.
-LOCAL_CHARS = 120
 _GAP = "   "
 _PHONE = re.compile(rf"(?<![\w.+/#@:-])(?<!\d[{_GAP}])(?:\+\d|00\d|\(\+?\d|\d)[\d{_GAP}().\-/‐-–]{{4,22}}\d(?![\w@]|[-/.:]\w)")
-#: A number with decimal places is no phone number.
+#: A number with decimal places is no phone number, unless a word on its line says so.
 _DECIMAL = re.compile(r"\d{1,3}\.\d{4,}")
+_PHONE_CUES = frozenset(CUES["phone"].split())
+_CUE_WORD = re.compile(r"[^\W\d_]+")
 _IDS = [
     (0, re.compile(r"(?<![\w.-])\d{8}[- ]?[A-Z](?![\w-])|(?<![\w.-])\d{8}-?[a-z](?![\w-])")),
     (1, re.compile(r"(?<![\w.-])\d{2}[. ]\d{3}[. ]\d{3}[- ]?[A-Za-z](?![\w-])")),
@@ -111,10 +111,10 @@ _END = re.compile(rf",?[ ](?:{_ZIP},?[ ])?(?P<town>{_TOWN})(?:,?[ ](?P<zip>{_ZIP
 # Per form, what a text with such an address holds; a text with none of it need not be looked through.
 _HINTS = [
     [f" {w}" for w in ("St,", "St ", "St.", "Street", "Rd", "Road", "Ln", "Lane", "Ave", "Close", "Drive", "Dr", "Court", "Ct", "Way", "Place", "Pl", "Square", "Sq", "Blvd", "Boulevard", "Terrace", "Crescent", "Hill", "Row", "Gardens", "Parkway", "Walk", "Mews", "Grove")],
-    ["Calle", "C/", "C. ", "Cl. ", "Avda", "Av.", "Avenida", "Plaza", "Pza", "Pl.", "Paseo", "Pº", "Camino", "Cno", "Carre", "Ctra", "Ronda", "Travesía", "Rúa", "Rambla", "Glorieta"],
+    ["Calle", "C/", "C.", "Cl.", "Avda", "Av.", "Avenida", "Plaza", "Pza", "Pl.", "Paseo", "Pº", "Camino", "Cno", "Carre", "Ctra", "Ronda", "Travesía", "Rúa", "Rambla", "Glorieta"],
     [f" {w} " for w in ("rue", "avenue", "av.", "boulevard", "bd", "place", "chemin", "impasse", "allée", "allées", "quai", "cours", "route", "square", "passage", "Rue", "Avenue", "Boulevard", "Place", "Chemin", "Impasse", "Allée", "Quai")],
     [w for e in ("straße", "strasse", "str.", "weg", "gasse", "platz", "allee", "ring", "ufer", "damm", "steig") for w in (f"{e} ", f"{e.capitalize()} ")],
-    ["Box ", "Apartado", "Apdo", "Postfach", "ostale", "B.P", "BP ", "B.P.", "Casilla"],
+    ["Box ", "Apartado", "Apdo", "Postfach", "ostale", "B.P", "BP", "Casilla"],
 ]
 _STREETS = [(form, re.compile(rf"(?<![\w/-])(?:{p})(?=,|[ ])")) for form, p in _ADDRESSES]
 
@@ -124,16 +124,22 @@ def emails(text: str) -> Iterator[tuple[int, int, int]]:
         for m in _PLAIN_MAIL.finditer(text):
             yield m.start(), len(m.group().rstrip(".'-")) + m.start(), 0
     for m in _VEIL.finditer(text):
-        first = max(text.rfind("\n", 0, m.start()) + 1, m.start() - LOCAL_CHARS)
+        first = text.rfind("\n", 0, m.start()) + 1
         local = _VEILED_LOCAL.search(text[first : m.start()])
         if local:
             yield first + local.start(), _VEILED_DOMAIN.match(text, m.end()).end(), 1
 
 
+def _cued(text: str, a: int, b: int) -> bool:
+    """Whether a cue for a phone is on the line of a span."""
+    start, end = text.rfind("\n", 0, a) + 1, text.find("\n", b)
+    return any(w.lower() in _PHONE_CUES for w in _CUE_WORD.findall(text[start : len(text) if end < 0 else end]))
+
+
 def phones(text: str) -> Iterator[tuple[int, int, int]]:
     for m in _PHONE.finditer(text):
         found = m.group()
-        if 7 <= sum(map(str.isdigit, found)) <= 16 and not _DECIMAL.fullmatch(found):
+        if 7 <= sum(map(str.isdigit, found)) <= 16 and not (_DECIMAL.fullmatch(found) and not _cued(text, m.start(), m.end())):
             yield m.start(), m.end(), 0
 
 
