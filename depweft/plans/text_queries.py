@@ -106,7 +106,7 @@ def excerpts(spark, d):
 
 
 def wrapped_lines(spark, d):
-    """The twelve-word lines of each text, as a web diff compares them."""
+    """The twelve-word lines of each whole text."""
     (documents,) = tables(spark, d, "documents")
     rows = monitor.wrapped_words(F.regexp_replace("text", r"[ \t\n\r\f]+", " "))
     return documents.where(F.col("text").isNotNull()).select("doc_id", F.posexplode(rows).alias("n", "line"))
