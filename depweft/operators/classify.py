@@ -17,28 +17,20 @@ def built_in(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, CATALOGUE)
 
 
+_BLOCK = re.compile(r"^(?P<name>[^\s#-][^\n]*):[ ]*\n(?P<body>(?:(?:[ ][^\n]*)?(?:\n|\Z))*)", re.M)
+_TYPE = re.compile(r"^  type:[ ]*['\"]?(\w+)", re.M)
+_ENDINGS = re.compile(r"^  extensions:[ ]*\n((?:  - [^\n]*\n?)*)", re.M)
+_ENDING = re.compile(r"""- ['"]?(\.[A-Za-z0-9_+.-]{1,35})['"]?[ ]*$""", re.M)
+
+
 def linguist_rows(text: str, least: int = 120) -> list[tuple[str, str, str, str]]:
-    """(ending, language, category, analyzer) of a language list in YAML: top-level names with type and extensions. Only these plain
-    fields are read; a list with too few endings is refused."""
-    rows, language, category, section = [], None, None, None
-    ends: list[str] = []
-
-    def close() -> None:
-        if language and category in ("programming", "markup", "data", "prose"):
-            rows.extend((e.lower(), language, category, "inventory") for e in ends if re.fullmatch(r"\.[A-Za-z0-9_+.-]{1,35}", e))
-
-    for line in text.splitlines():
-        if line[:1] not in ("", " ", "#", "-") and line.endswith(":"):
-            close()
-            language, category, section, ends = line[:-1].strip("'\""), None, None, []
-        elif line.startswith("  type:"):
-            category, section = line.split(":", 1)[1].strip(" '\""), None
-        elif line.startswith("  - "):
-            if section == "extensions":
-                ends.append(line[4:].strip(" '\""))
-        elif line.startswith("  ") and not line.startswith("    ") and ":" in line:
-            section = line.strip().removesuffix(":")
-    close()
+    """(ending, language, category, analyzer) of a language list in YAML: blocks of top-level names, each indented by two, with type
+    and extensions. Only these plain fields are read; a list with too few endings is refused."""
+    rows = []
+    for block in _BLOCK.finditer(text):
+        kind, listed = _TYPE.search(block["body"]), _ENDINGS.search(block["body"])
+        if kind and listed and kind[1] in ("programming", "markup", "data", "prose"):
+            rows += [(e.lower(), block["name"].strip("'\""), kind[1], "inventory") for e in _ENDING.findall(listed[1])]
     if len({r[0] for r in rows}) < least:
         raise ValueError("too few endings for a language list")
     return rows
@@ -82,7 +74,7 @@ def classify(files: DataFrame, catalogue: DataFrame) -> DataFrame:
     """
     name = keys.base_name(F.col("path"))
     first = F.lower(F.split_part(F.make_valid_utf8(F.substring("header", 1, 256).cast("string")), F.lit("\n"), F.lit(1)))
-    magic = _first_match([(F.startswith("header", F.to_binary(F.lit(h), F.lit("hex"))), (a, b, c)) for h, a, b, c in fixed.MAGIC], "magic")
+    magic = _first_match([(F.startswith("header", F.lit(bytearray(h))), (a, b, c)) for h, a, b, c in fixed.MAGIC], "magic")
     named = _first_match([(name == n, (a, b, c)) for n, a, b, c in fixed.FILE_NAMES], "filename")
     run = _first_match([(first.startswith("#!") & first.rlike(rf"(?:/|\s){i}(?:[0-9.\s]|$)"), (a, "programming", b)) for i, a, b in fixed.INTERPRETERS], "shebang")
     base = files.where(F.col("path").isNotNull()).select("path", "header", F.coalesce(magic, named, run).alias("known"), F.lower(name).alias("name"))
@@ -90,7 +82,7 @@ def classify(files: DataFrame, catalogue: DataFrame) -> DataFrame:
     tails = base.where(F.col("known").isNull()).select("path", F.explode(F.transform(dots, lambda i: F.substring(F.col("name"), i, F.length("name")))).alias("ending")).distinct()
     best = tails.join(ending_rows(catalogue), "ending").groupBy("path").agg(F.max_by(F.struct("ending", "language", "category", "analyzer", "candidates"), F.length("ending")).alias("e"))
     joined = base.join(best, "path", "left")
-    zero = F.contains("header", F.to_binary(F.lit("00"), F.lit("hex")))
+    zero = F.contains("header", F.lit(bytearray(1)))
     rest = F.when(F.coalesce(zero, F.lit(False)), F.struct(F.lit("Unknown binary").alias("language"), F.lit("binary").alias("category"), F.lit("inventory").alias("analyzer"), F.lit("content").alias("evidence"))).otherwise(
         F.struct(F.lit("Unknown").alias("language"), F.lit("unknown").alias("category"), F.lit("inventory").alias("analyzer"), F.lit("unrecognized").alias("evidence"))
     )

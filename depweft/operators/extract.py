@@ -45,9 +45,10 @@ def pattern_references(files: DataFrame, table: list[tuple]) -> DataFrame:
     return rows.select("path", F.explode(F.concat(*found)).alias("r")).select("path", "r.*").where(F.col("spec") != "").distinct()
 
 
-def static_references(files: DataFrame) -> DataFrame:
-    """Imports and includes of the languages without a parser of their own; templated references are left out."""
-    refs = pattern_references(files, fixed.PATTERNS)
+def static_references(files: DataFrame, more: list[tuple] = ()) -> DataFrame:
+    """Imports and includes of the languages without a parser of their own; templated references are left out. more: further rows
+    (endings, relation, evidence, mode, pattern with one group), for languages of a user's own."""
+    refs = pattern_references(files, [*fixed.PATTERNS, *more])
     templated = F.contains("spec", F.lit("$")) | F.contains("spec", F.lit("{"))
     return refs.where(~(F.col("relation").isin("static-import", "module-source") & (templated | (F.length("spec") > 700))))
 
@@ -160,36 +161,33 @@ def json_specs(text: str) -> list[str]:
 
 _JSON_KEYS = set(fixed.JSON_KEYS)
 _JOINED = re.compile(r"(?:\b(?:const|let|var)\s+([\w$]+)\s*=\s*)?\b(?:path|nodePath)\.join\s*\(([^)\r\n]{1,900})")
-
-
-def _joined(arguments: str, known: dict[str, str]) -> str | None:
-    steps = []
-    for i, a in enumerate(x.strip() for x in arguments.split(",")):
-        if a in known:
-            steps.append(known[a])
-        elif a in ("root", "process.cwd()"):
-            continue
-        elif len(a) > 1 and a[0] == a[-1] and a[0] in "'\"`":
-            steps.append(a[1:-1])
-        elif i and re.fullmatch(r"[\w.]+", a):
-            steps.append("*")
-        else:
-            return None
-    return "/".join(s.strip("/") for s in steps if s.strip("/"))
+_QUOTED, _NAME = re.compile(r"""(['"`])(.*)\1""", re.S), re.compile(r"[\w.]+")
 
 
 def joined_paths(text: str) -> list[str]:
-    """Asset paths below src/ and public/ that a script joins from constants; an unknown part is a *."""
-    known = {"root": "", "cwd": ""}
-    calls = [(m.group(1), m.group(2)) for m in _JOINED.finditer(text)]
-    for _ in range(4):
-        before = dict(known)
-        for name, arguments in calls:
-            if name and (value := _joined(arguments, known)) is not None:
-                known[name] = value
-        if known == before:
-            break
-    found = (_joined(arguments, known) for _, arguments in calls)
+    """Asset paths below src/ and public/ that a script joins from constants; an unknown part is a *.
+
+    Each constant is worked out when a path needs it, after those that it is made of. A constant that is given several times has its last
+    value, and one that is made of itself none.
+    """
+    calls = [(m[1], [a.strip() for a in m[2].split(",")]) for m in _JOINED.finditer(text)]
+    made = {name: parts for name, parts in calls if name}
+    values: dict[str, str | None] = {"root": "", "cwd": "", "process.cwd()": ""}
+
+    def value(part: str, first: bool) -> str | None:
+        if part in made and part not in values:
+            values[part] = None
+            values[part] = path(made[part])
+        if values.get(part) is not None:
+            return values[part]
+        quoted = _QUOTED.fullmatch(part)
+        return quoted[2] if quoted else "*" if not first and _NAME.fullmatch(part) else None
+
+    def path(parts: list[str]) -> str | None:
+        steps = [value(p, not i) for i, p in enumerate(parts)]
+        return None if None in steps else "/".join(s.strip("/") for s in steps if s.strip("/"))
+
+    found = (path(parts) for _, parts in calls)
     return list(dict.fromkeys(p for p in found if p and p.startswith(("src/", "public/")) and p[p.rfind(".") :].lower() in fixed.ASSET_SUFFIXES))
 
 

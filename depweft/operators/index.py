@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from depweft.functions import keys
+from depweft.functions import fixed, keys
 from depweft.operators import extract, graph
 from depweft.operators.resolve import expanded, resolved
 from depweft.session import cut, cut_counted
 from depweft.sources.binaries import binary_references
+from depweft.sources.blobs import COLUMNS, text_pieces
 from depweft.sources.containers import encryption_reasons, iso_edges, iso_files
 
 #: Texts above this many bytes are scanned by patterns instead of being parsed.
 TEXT_LIMIT = 4 * 1024 * 1024
+#: Name endings of the texts that any pattern is for.
+PATTERN_ENDINGS = sorted({e for table in (fixed.PATTERNS, fixed.WEB_PATTERNS, fixed.SEMANTIC_PATTERNS) for endings, *_ in table for e in endings} | {".py", ".pyi"})
 EDGES = "source string, target string, relation string, evidence string"
 
 
@@ -27,18 +30,33 @@ def aliases_of(files: DataFrame) -> dict[str, str]:
     return {r["k"].rstrip("/") + "/": r["v"].strip("/") + "/" for r in pairs.unionByName(more).collect()}
 
 
+def file_references(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """References of all texts (extract.REFS), and path, error of those that can't be parsed.
+
+    files: path string, content binary, and location of those whose content is not held. Small texts are parsed; large ones are
+    scanned piece by piece.
+    """
+    held = files.where(F.col("content").isNotNull()).select("path", extract.decoded(F.col("content")).alias("text"), F.length("content").alias("size"))
+    texts = cut(held)
+    small, large = texts.where(F.col("size") <= TEXT_LIMIT), texts.where(F.col("size") > TEXT_LIMIT).select("path", "text")
+    parsed, errors = extract.parsed_references(small)
+    pieces = cut(text_pieces(files.where(keys.suffix(F.col("path")).isin(PATTERN_ENDINGS))))
+    scanned = texts.select("path", "text").unionByName(pieces)
+    refs = parsed.unionByName(extract.package_json(small)).unionByName(extract.manifest_lines(small)).unionByName(extract.python_streamed(large.unionByName(pieces)))
+    for extractor in (extract.static_references, extract.web_references, extract.semantic_references, extract.template_imports, extract.literal_writes):
+        refs = refs.unionByName(extractor(scanned))
+    return refs.distinct(), errors
+
+
 def file_edges(files: DataFrame, inventory: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Edges of all files, and path, error of those that failed.
 
-    files: path string, content binary. inventory: path of every file that may be referred to, skipped folders included.
+    files: path string, content binary, and location and header of those whose content is not held. inventory: path of every file that
+    may be referred to, skipped folders included.
     """
-    texts = cut(files.where(F.col("content").isNotNull()).select("path", extract.decoded(F.col("content")).alias("text"), F.length("content").alias("size")))
-    small, large = texts.where(F.col("size") <= TEXT_LIMIT), texts.where(F.col("size") > TEXT_LIMIT)
-    parsed, errors = extract.parsed_references(small)
-    manifests = extract.package_json(small).unionByName(extract.manifest_lines(small))
-    refs = parsed.unionByName(extract.static_references(texts)).unionByName(extract.web_references(texts)).unionByName(extract.semantic_references(texts)).unionByName(manifests)
-    refs = refs.unionByName(extract.python_streamed(large)).unionByName(extract.template_imports(texts)).unionByName(extract.literal_writes(texts))
-    refs = cut(refs.distinct())
+    refs, errors = file_references(files)
+    refs = cut(refs)
+    texts = files.where(F.col("content").isNotNull()).select("path", extract.decoded(F.col("content")).alias("text"))
     aliases = aliases_of(texts)
     known = inventory.select("path").distinct()
     edges = resolved(refs, known, aliases).unionByName(expanded(refs, known, aliases)).unionByName(extract.paired_content(known)).unionByName(extract.generated_posts(texts, known))
@@ -50,16 +68,23 @@ def file_edges(files: DataFrame, inventory: DataFrame) -> tuple[DataFrame, DataF
     return every.join(errors.select(F.concat(F.lit("file:"), "path").alias("source")), "source", "left_anti").distinct(), errors
 
 
+def with_bytes(files: DataFrame) -> DataFrame:
+    """files with the columns location, header and error, null where they are missing."""
+    return files.withColumns({n: F.lit(None).cast(t) for n, t in (COLUMNS | {"error": "string"}).items() if n not in files.columns})
+
+
 def index_files(files: DataFrame, seeds: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """nodes (key, kind, status, depth, digest, error) and edges of a project.
 
-    files: path, seeded boolean, digest, content (as the tree source gives them). seeds: path; all seeded files if null. Nodes are the
-    seeds and what they lead to; depth is the least number of steps from a seed. Encrypted and unreadable files have no edges.
+    files: path, seeded boolean, digest, content, location, header, error (as the tree source gives them; the last three may be
+    missing). seeds: path; all seeded files if null. Nodes are the seeds and what they lead to; depth is the least number
+    of steps from a seed. Encrypted and unreadable files have no edges; unreadable ones are failed.
     """
-    files = cut(files)
+    files = cut(with_bytes(files))
     inventory = files.select("path")
     locked = encryption_reasons(files)
-    edges, errors = file_edges(files.join(locked, "path", "left_anti"), inventory)
+    edges, unparsed = file_edges(files.join(locked, "path", "left_anti"), inventory)
+    errors = unparsed.unionByName(files.where(F.col("error").isNotNull()).select("path", "error"))
     edges = cut(edges)
     start = (seeds if seeds is not None else files.where("seeded")).select(F.concat(F.lit("file:"), "path").alias("key")).distinct()
     frontier = seen = cut(start.withColumn("depth", F.lit(0)))
