@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from depweft.functions.text import posix_path
@@ -21,11 +21,17 @@ BUCKET_ENTRIES = 250_000
 BROADCAST_KEYS = 1_000_000
 
 
+def deliveries(df: DataFrame, snap: str = "snap_no", delivered: str = "delivered_at") -> DataFrame:
+    """One row per snapshot with its latest delivery: snap, delivered as text, ord (from 0, by snap). As text, an instant means the same in
+    every time zone. A table of snapshots, small whatever the number of records."""
+    latest = df.where(F.col(snap).isNotNull()).groupBy(snap).agg(F.max(delivered).cast("string").alias("__at"))
+    # Snapshots are few: years of hourly ones are some ten thousand rows, which one task numbers.
+    return latest.withColumn("ord", F.row_number().over(Window.orderBy(snap)) - 1)
+
+
 def snapshot_order(df: DataFrame, snap: str, delivered: str) -> list[tuple]:
-    """(snapshot, latest delivery as text) in order: one row per snapshot, whatever the table's size. As text, an instant means the same
-    in every time zone."""
-    rows = df.where(F.col(snap).isNotNull()).groupBy(snap).agg(F.max(delivered).cast("string").alias("d")).orderBy(snap).collect()
-    return [(r[snap], r["d"]) for r in rows]
+    """(snapshot, latest delivery as text) in order: one row per snapshot, whatever the table's size."""
+    return [(r[snap], r["__at"]) for r in deliveries(df, snap, delivered).orderBy("ord").collect()]
 
 
 def of_delivery(delivery: tuple, snap: Column, delivered: Column) -> Column:
@@ -33,12 +39,15 @@ def of_delivery(delivery: tuple, snap: Column, delivered: Column) -> Column:
     return (snap == F.lit(delivery[0])) & delivered.cast("string").eqNullSafe(F.lit(delivery[1]))
 
 
-def latest_deliveries(df: DataFrame, order: list[tuple], snap: str = "snap_no", delivered: str = "delivered_at") -> DataFrame:
-    """Rows of the latest delivery of each snapshot."""
-    kept = F.lit(False)
-    for delivery in order:
-        kept = kept | of_delivery(delivery, F.col(snap), F.col(delivered))
-    return df.where(kept)
+def latest_deliveries(df: DataFrame, order: list[tuple] | None = None, snap: str = "snap_no", delivered: str = "delivered_at") -> DataFrame:
+    """Rows of the latest delivery of each snapshot, or of the deliveries given. The deliveries are a small table that is broadcast, so
+    that the plan is the same for any number of snapshots."""
+    if order is None:
+        small = deliveries(df, snap, delivered).select(F.col(snap).alias("__snap"), "__at")
+    else:
+        kind = df.schema[snap].dataType.simpleString()
+        small = df.sparkSession.createDataFrame([tuple(o) for o in order], f"__snap {kind}, __at string")
+    return df.join(F.broadcast(small), (F.col(snap) == F.col("__snap")) & F.col(delivered).cast("string").eqNullSafe(F.col("__at")), "left_semi")
 
 
 def _runs(keys: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -101,13 +110,6 @@ def monitor_entries(valid: DataFrame) -> DataFrame:
     return valid.select("ord", "id", entry).select("ord", "id", posix_path(F.col("e.key")).alias("path"), F.coalesce(F.lower("e.value"), F.lit("")).alias("value"))
 
 
-def _lookup(pairs: list[tuple], column: Column) -> Column:
-    out = F.lit(None)
-    for value, i in pairs:
-        out = F.when(column == F.lit(value), F.lit(i)).otherwise(out)
-    return out.cast("int")
-
-
 def target_changes(targets: DataFrame) -> DataFrame:
     """Changes of monitored targets: snap_no, target_id, file_path, change_kind.
 
@@ -115,29 +117,40 @@ def target_changes(targets: DataFrame) -> DataFrame:
     Rows without snap_no, delivery or id are no part of a snapshot. A target given twice in one delivery counts once; if
     its copies disagree, its manifest is the union and the greatest value holds. Paths are compared in posix form, markers
     and digests without letter case; a manifest that is null is empty.
+
+    The table is scanned once for the hashes and once for the full values of differing keys; kind, algorithm and fingerprints travel
+    with the targets that differ, not with all.
     """
-    order = snapshot_order(targets, "snap_no", "delivered_at")
     spark = targets.sparkSession
-    if len(order) < 2:
+    order = cut(deliveries(targets))
+    n_snaps = order.count()
+    if n_snaps < 2:
         return spark.createDataFrame([], "snap_no int, target_id bigint, file_path string, change_kind string")
-    ords = _lookup([(s, i) for i, (s, _) in enumerate(order)], F.col("snap_no"))
-    valid = latest_deliveries(targets, order).where(F.col("id").isNotNull()).withColumn("ord", ords)
+    used = ("id", "snap_no", "kind", "algorithm", "last_sha", "last_semantic", "last_manifest")
+    valid = targets.where(F.col("id").isNotNull()).select(*used, F.col("delivered_at").cast("string").alias("__d"))
+    valid = valid.join(F.broadcast(order.select("snap_no", F.col("__at").alias("__d"), "ord")), ["snap_no", "__d"])
     entries = monitor_entries(valid)
-    n_entries = valid.agg(F.sum(F.lit(1) + F.greatest(F.lit(0), F.coalesce(F.size("last_manifest"), F.lit(0)))).alias("n")).first()["n"] or 0
     key = F.xxhash64("id", "path")
-    compact = entries.select("ord", key.alias("k"), F.xxhash64("value").alias("h"))
-    changed = cut(changed_keys(compact, len(order), n_entries))
-
-    wanted = F.broadcast(changed) if changed.count() <= BROADCAST_KEYS else changed
-    full = entries.withColumn("k", key).join(wanted, "k").where((F.col("ord") == F.col("pair")) | (F.col("ord") == F.col("pair") - 1)).withColumn("later", F.col("ord") == F.col("pair"))
+    # Compact rows are written once: their number gives the buckets, and the buckets read them again.
+    compact = cut(entries.select("ord", key.alias("k"), F.xxhash64("value").alias("h")))
+    changed = cut(changed_keys(compact, n_snaps, compact.count()))
+
+    n_changed = changed.count()
+    wanted = F.broadcast(changed) if n_changed <= BROADCAST_KEYS else changed
+    own = entries.withColumn("k", key)
+    # An entry of a snapshot is the later side of the pair it ends and the earlier side of the pair it begins.
+    met = own.join(wanted, "k").where((F.col("ord") == F.col("pair")) | (F.col("ord") == F.col("pair") - 1)).withColumn("later", F.col("ord") == F.col("pair"))
     old, new = F.when(~F.col("later"), F.col("value")), F.when(F.col("later"), F.col("value"))
-    diffs = full.groupBy("pair", "id", "path").agg(F.max(old).alias("old"), F.max(new).alias("new")).where(~F.col("old").eqNullSafe(F.col("new")))
+    diffs = cut(met.groupBy("pair", "id", "path").agg(F.max(old).alias("old"), F.max(new).alias("new")).where(~F.col("old").eqNullSafe(F.col("new"))))
 
-    fields = {"kind": F.col("kind"), "algorithm": F.col("algorithm"), "sha": F.lower("last_sha"), "semantic": F.lower("last_semantic")}
-    state = F.struct(*(c.alias(n) for n, c in fields.items()))
-    steps = F.explode(F.array(F.struct(F.col("ord").alias("pair"), F.lit(True).alias("later")), F.struct((F.col("ord") + 1).alias("pair"), F.lit(False).alias("later"))))
-    heads = valid.select("id", state.alias("state"), steps.alias("s")).select(F.col("s.pair").alias("pair"), "id", "state", "s.later")
-    heads = heads.groupBy("pair", "id").agg(F.max(F.when(~F.col("later"), F.col("state"))).alias("a"), F.max(F.when(F.col("later"), F.col("state"))).alias("b"))
+    # Heads only of the targets that differ, and only for the pairs they differ in.
+    asked = diffs.select("pair", "id").distinct()
+    sides = asked.select("id", "pair", F.explode(F.array(F.col("pair") - 1, F.col("pair"))).alias("ord"))
+    n_asked = asked.count()
+    sides = F.broadcast(sides) if n_asked <= BROADCAST_KEYS // 2 else sides
+    state = F.struct("kind", "algorithm", F.lower("last_sha").alias("sha"), F.lower("last_semantic").alias("semantic"))
+    heads = valid.select("ord", "id", state.alias("state")).join(sides, ["id", "ord"]).groupBy("pair", "id")
+    heads = heads.agg(F.max(F.when(F.col("ord") < F.col("pair"), F.col("state"))).alias("a"), F.max(F.when(F.col("ord") == F.col("pair"), F.col("state"))).alias("b"))
 
     a, b = F.col("a"), F.col("b")
     same_sha = a["sha"].eqNullSafe(b["sha"])
@@ -149,9 +162,10 @@ def target_changes(targets: DataFrame) -> DataFrame:
     compared = (b["kind"] == "local") & a["algorithm"].eqNullSafe(b["algorithm"]) & a["sha"].isNotNull()
     of_file = F.when(compared, F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").otherwise("modified"))
     kind = F.when(F.col("path") == "", of_target).otherwise(of_file)
-    number = F.element_at(F.array(*(F.lit(s).cast("int") for s, _ in order)), F.col("pair") + 1)
+    numbers = F.broadcast(order.select(F.col("ord").alias("pair"), F.col("snap_no").cast("int").alias("number")))
     return (
         diffs.join(heads, ["pair", "id"])
-        .select(number.alias("snap_no"), F.col("id").cast("bigint").alias("target_id"), F.col("path").alias("file_path"), kind.alias("change_kind"))
+        .join(numbers, "pair")
+        .select(F.col("number").alias("snap_no"), F.col("id").cast("bigint").alias("target_id"), F.col("path").alias("file_path"), kind.alias("change_kind"))
         .where(F.col("change_kind").isNotNull())
     )

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from depweft.functions.text import digest_norm, posix_path
 from depweft.operators import export, graph, monitor
-from depweft.operators.incremental import VersionedTarget, run_once
-from depweft.operators.snapshots import snapshot_order
-from depweft.plans.core_problems import _CURRENT, node_states
+from depweft.operators.incremental import VersionedTarget, refresh_once, run_once
+from depweft.operators.snapshots import deliveries
+from depweft.plans.core_problems import _CURRENT, _DELETED, deleted_keys, node_states
 from depweft.plans.graph_queries import _WITH, load
 from depweft.plans.graph_queries import SQL as GRAPH_SQL
 from depweft.plans.monitor_queries import _VERSIONS, _latest_notes, _versions, valid_targets
@@ -32,14 +32,13 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 def text_diffs(spark, d):
     """Unified diffs of the texts that consecutive snapshots of a target keep of the same file."""
     (targets,) = tables(spark, d, "targets")
-    order = [s for s, _ in snapshot_order(targets, "snap_no", "delivered_at")]
-    following = F.lit(None).cast("int")
-    for a, b in zip(order, order[1:]):
-        following = F.when(F.col("snap_no") == a, b).otherwise(following)
-    rows = valid_targets(spark, d).where("record_diffs").select("id", "snap_no", F.explode("last_texts").alias("path", "text")).select("id", "snap_no", posix_path(F.col("path")).alias("path"), "text").distinct()
-    before = rows.select("id", "path", following.alias("snap_no"), F.col("text").alias("before"))
+    order = deliveries(targets)
+    following = F.broadcast(order.select("snap_no", (F.col("ord") + 1).alias("ord")).join(order.select("ord", F.col("snap_no").alias("next_no")), "ord").drop("ord"))
+    texts = valid_targets(spark, d).where("record_diffs").select("id", "snap_no", F.explode("last_texts").alias("path", "text"), (F.col("kind") == "web").alias("web"))
+    rows = texts.select("id", "snap_no", posix_path(F.col("path")).alias("path"), "text", "web").distinct()
+    before = rows.join(following, "snap_no").select("id", "path", F.col("next_no").alias("snap_no"), F.col("text").alias("before"))
     pairs = before.join(rows.withColumnRenamed("text", "after"), ["id", "path", "snap_no"]).where("before <> after")
-    return monitor.diffs(pairs.withColumn("web", F.lit(False))).select("id", "path", "snap_no", "diff")
+    return monitor.diffs(pairs).select("id", "path", "snap_no", "diff")
 
 
 def tree_files(spark, d):
@@ -47,6 +46,20 @@ def tree_files(spark, d):
     return read_tree(spark, d, maxContent="0").select("path", "size", "seeded", "digest")
 
 
+def incremental_current(spark, d):
+    """The newest rows of a target after three runs: over the nodes loaded by a day, over all, and over all but the deleted ones."""
+    nodes, removals = tables(spark, d, "nodes", "node_removals")
+
+    def source(df: DataFrame) -> DataFrame:
+        return node_states(df).where(F.col("kind") == "file").select("key", digest_norm(F.col("digest")).alias("version"))
+
+    target = VersionedTarget(spark, shared_folder(spark, "target"), "key string, version string, chars int, gone boolean")
+    work = lambda df: df.withColumn("chars", F.length("key"))
+    refresh_once(source(nodes.where(F.col("loaded_at") < F.lit(CUTOFF).cast("timestamp_ntz"))), target, "key", "version", work)
+    refresh_once(source(nodes), target, "key", "version", work)
+    return refresh_once(source(nodes).join(deleted_keys(nodes, removals), "key", "left_anti"), target, "key", "version", work)[1].select("key", "version", "chars")
+
+
 def incremental_runs(spark, d):
     """A target after two runs: over the nodes loaded by a day, then over all; each version of a key is made once."""
     (nodes,) = tables(spark, d, "nodes")
@@ -130,7 +143,7 @@ def node_facts(spark, d):
     return _versions(spark, d).select("key", "version").join(typed, "key", "left").join(notes, ["key", "version"], "left").drop("version")
 
 
-_ALL = (text_diffs, tree_files, incremental_runs, monitor_stream, export_nodes, export_edges, export_note_lines, export_manifest, leak_check, adjacency, adjacency_views, node_edges, node_facts)
+_ALL = (text_diffs, tree_files, incremental_runs, incremental_current, monitor_stream, export_nodes, export_edges, export_note_lines, export_manifest, leak_check, adjacency, adjacency_views, node_edges, node_facts)
 QUERIES = {f.__name__: f for f in _ALL}
 
 _SOURCE = "SELECT key, regexp_replace(lower(trim(digest)), '^sha256:', '') AS version FROM {0} WHERE kind = 'file' AND status = 'done' AND digest IS NOT NULL"
@@ -139,6 +152,7 @@ _USE = "relation NOT IN ('contains')"
 SQL = {
     "export_nodes": "SELECT n.key AS id, n.kind AS type, n.status, n.depth, n.digest AS sha256, n.error, u.usage, u.declared_incoming, u.inferred_incoming, u.producers FROM (" + f"{_WITH} SELECT * FROM current_nodes" + ") n JOIN (" + GRAPH_SQL["usage_labels"] + ") u ON u.key = n.key",
     "incremental_runs": f"WITH {_CURRENT}, {_EARLY}, u AS ({_SOURCE.format('early')} UNION {_SOURCE.format('current_nodes')}) SELECT key, version, length(key)::INT AS chars FROM u",
+    "incremental_current": f"WITH {_DELETED}, {_CURRENT} SELECT key, regexp_replace(lower(trim(digest)), '^sha256:', '') AS version, length(key)::INT AS chars FROM current_nodes WHERE kind = 'file' AND key NOT IN (SELECT key FROM gone)",
     "monitor_stream": MONITOR_SQL["monitor_replay"].replace("SELECT target, seq, state FROM replay", "SELECT target, seq, state FROM replay WHERE state <> 'unchanged'"),
     "export_edges": f'{_WITH} SELECT source AS "from", target AS "to", relation, coalesce(evidence, \'unknown\') AS evidence FROM e',
     "export_note_lines": f"""{_WITH} SELECT 0 AS section, (SELECT count(*) FROM current_nodes) * 5 AS n UNION ALL SELECT 1, (SELECT count(*) FROM current_nodes) UNION ALL SELECT 3, (SELECT count(*) FROM current_nodes)

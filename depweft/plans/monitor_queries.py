@@ -21,7 +21,7 @@ LAST = 100
 def valid_targets(spark: SparkSession, d: str) -> DataFrame:
     """Rows of each snapshot's latest delivery."""
     (targets,) = tables(spark, d, "targets")
-    return latest_deliveries(targets, snapshot_order(targets, "snap_no", "delivered_at")).where(F.col("id").isNotNull())
+    return latest_deliveries(targets).where(F.col("id").isNotNull())
 
 
 def current_targets(spark: SparkSession, d: str) -> DataFrame:
@@ -67,6 +67,8 @@ def unchanged_files(spark, d):
     def entries(delivery: tuple) -> DataFrame:
         return latest_deliveries(targets, [delivery]).select("id", F.explode("last_manifest").alias("path", "marker")).select("id", posix_path(F.col("path")).alias("path"), F.lower("marker").alias("marker")).distinct()
 
+    if not order:
+        return targets.limit(0).select("id", F.lit("").alias("path"), F.lit("").alias("marker"))
     return entries(order[0]).intersect(entries(order[-1]))
 
 
@@ -167,7 +169,8 @@ def registration_events(spark, d):
     """Algorithm switches, if the targets of the first snapshot are registered anew as they stand in the last."""
     order = snapshot_order(tables(spark, d, "targets")[0], "snap_no", "delivered_at")
     v = valid_targets(spark, d).select("snap_no", "target", "algorithm", "record_diffs", "last_sha").distinct()
-    first, last = (v.where(F.col("snap_no") == s).drop("snap_no") for s in (order[0][0], order[-1][0]))
+    ends = (order[0][0], order[-1][0]) if order else (None, None)
+    first, last = (v.where(F.col("snap_no") == F.lit(s)).drop("snap_no") for s in ends)
     return monitor.registered(first, last.drop("last_sha"))[1]
 
 
