@@ -233,6 +233,10 @@ def literal_writes(files: DataFrame) -> DataFrame:
     return rows.select("path", "spec", F.lit("generates").alias("relation"), F.lit("declared").alias("evidence"), F.lit("literal").alias("mode")).distinct()
 
 
+#: Parts into which posts are spread for the scripts that make them.
+POST_PARTS = 64
+
+
 def generated_posts(files: DataFrame, inventory: DataFrame) -> DataFrame:
     """Edges of scripts that create posts below src/content/blog to what they make there: source, target, relation, evidence.
 
@@ -248,7 +252,10 @@ def generated_posts(files: DataFrame, inventory: DataFrame) -> DataFrame:
     slug = F.coalesce(F.nullif(F.regexp_extract(p, r"^src/content/blog/([^/]+)/", 1), F.lit("")), F.nullif(F.regexp_extract(p, r"^src/locales/[^/]+/posts/(.+)\.json$", 1), F.lit("")), F.nullif(F.regexp_extract(p, r"^public/images/posts/([^/]+)/[^/]+$", 1), F.lit("")))
     made = inventory.select(F.col("path").alias("target")).distinct().select("target", F.when(post, "post").when(p.rlike(r"^public/images/posts/[^/]+/[^/]+$"), "image").alias("kind"), slug.alias("slug")).where("kind IS NOT NULL")
     known = inventory.select(F.regexp_extract("path", r"^src/content/blog/([a-zA-Z0-9_-]{1,160})/", 1).alias("slug")).where("slug <> ''").distinct()
-    out = scripts.join(made.join(known, "slug", "left_semi"), "kind")
+    # Every maker is linked to every post, which is what the edges say; both sides are spread over parts of the posts.
+    part = F.pmod(F.xxhash64("target"), F.lit(POST_PARTS)).cast("int")
+    posts = made.join(known, "slug", "left_semi").withColumn("part", part)
+    out = scripts.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(POST_PARTS - 1)))).join(posts, ["kind", "part"])
     return out.select(F.concat(F.lit("file:"), "path").alias("source"), F.concat(F.lit("file:"), "target").alias("target"), F.lit("generates").alias("relation"), F.lit("inferred").alias("evidence")).distinct()
 
 

@@ -96,17 +96,27 @@ def audit_classes(node_keys: DataFrame, edges: DataFrame) -> DataFrame:
 BROADCAST_FRONTIER = 500_000
 
 
+#: Levels after which the union of what a walk has seen is written anew.
+MERGED = 16
+
+
+def merged(seen: DataFrame, level: int) -> DataFrame:
+    """The union of the levels seen, as one table whenever it has grown by MERGED of them."""
+    return seen if level % MERGED else cut(seen)
+
+
 def _to_edges(frontier: DataFrame, n: int, most: int = BROADCAST_FRONTIER) -> DataFrame:
     """The frontier for a join with edges, whose number of rows n is known: broadcast while that is small, so that the edges of a hub stay
     spread as they are."""
     return F.broadcast(frontier) if n <= most else frontier
 
 
-def reach(nodes: DataFrame, edges: DataFrame, seed: Column, direction: str = "both", most_rounds: int = 1000) -> DataFrame:
+def reach(nodes: DataFrame, edges: DataFrame, seed: Column, direction: str = "both") -> DataFrame:
     """Keys reachable from the nodes that satisfy seed, themselves included, along dependencies, dependents or both.
 
-    Level by level: the frontier meets the edges, what was seen is taken off by an anti-join, and each level is written to the
-    checkpoint folder, so that neither lineage nor plan grows. No relation is left out.
+    Level by level until a level is empty: the frontier meets the edges, what was seen is taken off by an anti-join, and each level
+    is written to the checkpoint folder. What was seen is a union of the levels, written anew as one table every MERGED levels, so that
+    plan and lineage stay bounded however deep the graph is. No relation is left out.
     """
     if direction not in ("dependencies", "dependents", "both"):
         raise ValueError("direction is dependencies, dependents or both")
@@ -114,13 +124,12 @@ def reach(nodes: DataFrame, edges: DataFrame, seed: Column, direction: str = "bo
     steps = {"dependencies": forward, "dependents": forward.select(F.col("b").alias("a"), F.col("a").alias("b")), "both": forward.unionByName(forward.select(F.col("b").alias("a"), F.col("a").alias("b")))}[direction]
     steps = cut(steps.distinct())
     frontier, n = cut_counted(nodes.where(seed).select("key").distinct())
-    seen = frontier
-    for _ in range(most_rounds):
+    seen, level = frontier, 0
+    while n:
+        level += 1
         met = steps.join(_to_edges(frontier.withColumnRenamed("key", "a"), n), "a").select(F.col("b").alias("key")).distinct()
         frontier, n = cut_counted(met.join(seen, "key", "left_anti"))
-        if not n:
-            break
-        seen = seen.unionByName(frontier)
+        seen = merged(seen.unionByName(frontier), level) if n else seen
     return seen
 
 
@@ -160,7 +169,7 @@ def impact(edges: DataFrame, key: str, max_depth: int = 25, max_nodes: int | Non
             found = frontier.count()
         if not found:
             break
-        seen, n = seen.unionByName(frontier), n + found
+        seen, n = merged(seen.unionByName(frontier), level), n + found
         if n >= most or level == max_depth:
             last = _to_edges(frontier.select(F.col("key").alias("target")), found)
             truncated = not uses.join(last, "target").select(F.col("source").alias("key")).join(seen.select("key"), "key", "left_anti").isEmpty()

@@ -95,7 +95,7 @@ def index_files(files: DataFrame, seeds: DataFrame | None = None) -> tuple[DataF
         frontier, n = cut_counted(met.join(seen, "key", "left_anti").withColumn("depth", F.lit(level)))
         if not n:
             break
-        seen = seen.unionByName(frontier)
+        seen = graph.merged(seen.unionByName(frontier), level)
     path = keys.relative(F.col("key"))
     inner = iso_files(files.where(F.lower("path").endswith(".iso"))).where(F.col("inner").isNotNull()).select(F.concat(F.lit("iso:"), "path", F.lit("!/"), "inner").alias("key"), F.col("digest").alias("iso_digest"))
     facts = files.select("path", "digest").join(locked, "path", "left").join(errors, "path", "left")

@@ -56,7 +56,7 @@ def bases(aliases: dict[str, str]) -> Column:
     module = F.replace(F.regexp_replace(spec, r"^\.+", ""), F.lit("."), F.lit("/"))
     up = F.concat_ws("/", here, F.repeat(F.lit("../"), F.greatest(dots - 1, F.lit(0))))
     python = F.when(dots > 0, F.array(_under(up, module), _under(F.lit(""), module))).otherwise(F.array(_under(F.lit(""), module), _under(here, module)))
-    source = F.array(_under(here, spec), F.when(F.length(spec) <= 512, _under(F.lit(""), spec)))
+    source = F.when(F.length(spec) <= 512, F.array(_under(here, spec), _under(F.lit(""), spec)))
     perl = F.replace(spec, F.lit("::"), F.lit("/"))
     lua = F.replace(spec, F.lit("."), F.lit("/"))
     value = normal_reference(spec)
@@ -126,19 +126,33 @@ def glob_regex(pattern: Column) -> Column:
     return F.concat(F.lit("^"), F.replace(F.replace(F.replace(deep, F.lit("*"), F.lit("[^/]*")), F.lit("?"), F.lit("[^/]")), F.lit("\u0001"), F.lit("(?:.*/)?")), F.lit("$"))
 
 
+#: Parts into which the files below one folder are spread for the patterns that begin there.
+FOLDER_PARTS = 64
+
+
 def expanded(refs: DataFrame, inventory: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
     """Edges of pattern references (mode glob): every file of the inventory that fits.
 
-    The folder before a pattern's first placeholder joins the folders above each file, an equi-join; only these pairs meet the regular
-    expression.
+    A pattern meets the files below its literal folder that have its ending and, unless it holds **, its number of steps: an equi-join
+    on all three, so that a pattern without a literal folder meets no more than those. Different patterns are expanded once,
+    whatever the number of references, and files are spread over FOLDER_PARTS parts of a folder, so that a folder
+    with most of the files is no task of its own. Only pairs that meet are tried by the regular expression.
     """
+    from depweft.operators.graph import ancestors
+
     globs = refs.where((F.col("mode") == "glob") & F.col("spec").isNotNull()).withColumn("mode", F.lit("semantic")).withColumn("spec", F.regexp_replace("spec", r"\$\{[\w.]+\}", "*"))
     usable = globs.where(~F.contains("spec", F.lit("${")))
-    patterns = usable.select("path", "relation", "evidence", F.explode(bases(ALIASES | (aliases or {}))).alias("pattern")).where(F.col("pattern").isNotNull())
+    named = usable.select("path", "relation", "evidence", F.explode(bases(ALIASES | (aliases or {}))).alias("pattern")).where(F.col("pattern").isNotNull())
     literal = F.regexp_extract("pattern", r"^((?:[^*?\[/]+/)*)", 1)
-    patterns = patterns.withColumn("folder", F.when(literal == "", ".").otherwise(F.regexp_replace(literal, "/$", ""))).withColumn("regex", glob_regex(F.col("pattern")))
-    from depweft.operators.graph import ancestors
-
-    files = inventory.select(F.col("path").alias("target")).distinct().select("target", F.explode(ancestors(F.col("target"))).alias("folder"))
-    hits = patterns.join(files, "folder").where(F.expr("target rlike regex"))
-    return hits.select(F.concat(F.lit("file:"), "path").alias("source"), F.concat(F.lit("file:"), "target").alias("target"), "relation", "evidence").distinct()
+    # The ending where the pattern says it literally; "" stands for any.
+    ending, steps = F.lower(F.regexp_extract("pattern", r"\.[^.*?\[\]{}/]+$", 0)), F.when(F.contains("pattern", F.lit("**")), 0).otherwise(F.size(F.split("pattern", "/")))
+    parts = F.explode(F.sequence(F.lit(0), F.lit(FOLDER_PARTS - 1)))
+    patterns = named.select("pattern").distinct().select("pattern", F.when(literal == "", ".").otherwise(F.regexp_replace(literal, "/$", "")).alias("folder"), ending.alias("ending"), steps.alias("steps"), glob_regex(F.col("pattern")).alias("regex")).withColumn("part", parts)
+
+    own, depth = F.lower(F.regexp_extract("target", r"\.[^./]+$", 0)), F.size(F.split("target", "/"))
+    kinds = F.explode(F.array_distinct(F.array(*(F.struct(e.alias("ending"), n.alias("steps")) for e in (own, F.lit("")) for n in (depth, F.lit(0))))))
+    files = inventory.select(F.col("path").alias("target")).distinct().select("target", F.explode(ancestors(F.col("target"))).alias("folder"), F.pmod(F.xxhash64("target"), F.lit(FOLDER_PARTS)).cast("int").alias("part"))
+    # Only folders that some pattern begins with.
+    files = files.join(patterns.select("folder").distinct(), "folder", "left_semi").select("*", kinds.alias("k")).select("target", "folder", "part", "k.*")
+    hits = patterns.join(files, ["folder", "part", "ending", "steps"]).where(F.expr("target rlike regex")).select("pattern", "target").distinct()
+    return named.join(hits, "pattern").select(F.concat(F.lit("file:"), "path").alias("source"), F.concat(F.lit("file:"), "target").alias("target"), "relation", "evidence").distinct()
