@@ -46,6 +46,17 @@ class Boosted:
         return 1 / (1 + np.exp(-np.clip(a * self.score(x) + b, -40, 40)))
 
 
+    def to_dict(self) -> dict:
+        """Plain numbers, for JSON; fractions are rounded to what the trees need."""
+        trees = [{"feature": t.feature.tolist(), "threshold": [float(f"{x:.6g}") for x in t.threshold], "value": [float(f"{x:.5g}") for x in t.value]} for t in self.trees]
+        return {"base": self.base, "rate": self.rate, "scale": list(self.scale), "threshold": self.threshold, "trees": trees}
+
+    @classmethod
+    def from_dict(cls, d: dict) -> Boosted:
+        trees = [Tree(np.array(t["feature"]), np.array(t["threshold"], float), np.array(t["value"], float)) for t in d["trees"]]
+        return cls(d["base"], d["rate"], trees, tuple(d["scale"]), d["threshold"])
+
+
 def _grow(bins: np.ndarray, cuts: list[np.ndarray], g: np.ndarray, h: np.ndarray, depth: int, least: float, l2: float) -> Tree:
     """bins: per row and feature its bin, offset so that the bins of all features lie in one range."""
     n_nodes = 2 ** (depth + 1) - 1
