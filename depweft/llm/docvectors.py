@@ -8,6 +8,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -22,12 +23,15 @@ TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
 # Fixed value: how this vocabulary's tokenizer splits a text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pieces longer than this are merged in parts of this size, which keeps the work linear in the length of a text.
-LONGEST_PIECE = 2_000
+#: Runs of white space from this length on are merged by themselves: the pattern above can't walk over very long ones.
+LONG_RUN = 10_000
+# Fixed value: the white space of the pattern above.
+_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 DIMENSIONS, BITS = 4, 8
 _WORD = re.compile(r"\w+")
-_LONG = re.compile(rf"\S{{{LONGEST_PIECE},}}|\s{{{LONGEST_PIECE},}}")
+_LONG = re.compile(rf"[{_SPACE}]{{{LONG_RUN},}}")
+_LONG_PIECE = re.compile(rf"[{_SPACE}]+")
 
 
 @lru_cache(maxsize=4)
@@ -40,19 +44,24 @@ def encoding(folder: str = TOKENIZERS, name: str = VOCABULARY):
 
 
 def pieces(text: str) -> list[str]:
-    """text in parts, cut only within runs of LONGEST_PIECE characters without a change between space and no space."""
+    """text in parts, cut only where the pattern cuts as well: around long runs of white space, whose last sign goes with what follows."""
     out, at = [], 0
     for m in _LONG.finditer(text):
-        for cut in range(m.start() + LONGEST_PIECE, m.end(), LONGEST_PIECE):
-            out.append(text[at:cut])
-            at = cut
+        end = m.end() if m.end() == len(text) else m.end() - 1
+        out += [text[at : m.start()], text[m.start() : end]]
+        at = end
     out.append(text[at:])
-    return out
+    return [p for p in out if p] or [""]
 
 
 def count_tokens(texts: list[str], folder: str = TOKENIZERS, name: str = VOCABULARY) -> list[int]:
+    """Number of tokens of each text, as the tokenizer itself gives it, whatever the text's length."""
     enc = encoding(folder, name)
-    return [sum(len(enc.encode_ordinary(p)) for p in pieces(t)) if t else 0 for t in texts]
+
+    def count(piece: str) -> int:
+        return len(enc._encode_single_piece(piece) if len(piece) >= LONG_RUN - 1 and _LONG_PIECE.fullmatch(piece) else enc.encode_ordinary(piece))
+
+    return [sum(map(count, pieces(t))) if t else 0 for t in texts]
 
 
 @lru_cache(maxsize=1)
@@ -106,20 +115,112 @@ def curve_keys(vectors: np.ndarray) -> np.ndarray:
     return hilbert(np.minimum((spread * (1 << BITS)).astype(np.int64), (1 << BITS) - 1))
 
 
-def measured(documents: DataFrame, columns: list[str], folder: str = TOKENIZERS, name: str = VOCABULARY) -> DataFrame:
-    """columns of documents with n_tokens, curve (Hilbert key), topic (signs of the first three coordinates) and text_hash,
-    an MD5 of the text. Null texts have no hash, and like empty ones no tokens."""
+# ---- topics ---------------------------------------------------------------------------------------------------------
+
+#: Topics, dimensions of their vectors, and texts that they are fitted on at most (about as many, drawn by the hash of the text).
+TOPICS, TOPIC_DIMENSIONS, TOPIC_SAMPLE = 16, 48, 8_000
+BUCKETS = 1 << 16
+
+
+@lru_cache(maxsize=1)
+def _topic_directions() -> np.ndarray:
+    return np.random.default_rng(21).standard_normal((BUCKETS, TOPIC_DIMENSIONS)).astype(np.float32)
+
+
+def buckets(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed words of a text and their damped counts."""
+    words = Counter(_WORD.findall(text.lower()))
+    at = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) & (BUCKETS - 1) for w in words), np.int64, len(words))
+    return at, np.log1p(np.fromiter(words.values(), np.float32, len(words)))
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-9)
+
+
+@dataclass
+class TopicModel:
+    """Clusters of vocabulary: words weigh more the fewer texts hold them, and what the texts of a language have in common is taken off,
+    so that a topic is what a text is about and not the language that it is in."""
+
+    idf: np.ndarray
+    languages: dict[str, np.ndarray]
+    centres: np.ndarray
+
+    def vector(self, at: np.ndarray, weight: np.ndarray, lang: str) -> np.ndarray:
+        if not len(at):
+            return np.zeros(TOPIC_DIMENSIONS, np.float32)
+        raw = _unit((weight * self.idf[at]) @ _topic_directions()[at])
+        return _unit(raw - self.languages.get(lang, 0.0))
+
+    def topic(self, text: str, lang: str) -> int:
+        """Number of the nearest centre; the number of centres for texts without words."""
+        at, weight = buckets(text)
+        return int((self.centres @ self.vector(at, weight, lang)).argmax()) if len(at) and len(self.centres) else len(self.centres)
+
+
+def fit_topics(rows: list[tuple[str, list[int], list[float]]], topics: int = TOPICS, rounds: int = 30, seed: int = 5) -> TopicModel:
+    """Spherical k-means over (language, hashed words, damped counts) of a sample of texts."""
+    seen = np.zeros(BUCKETS)
+    for _, at, _ in rows:
+        seen[np.unique(at)] += 1
+    model = TopicModel(np.log((1 + len(rows)) / (1 + seen)).astype(np.float32), {}, np.zeros((0, TOPIC_DIMENSIONS), np.float32))
+    rows = [(g, np.array(a, np.int64), np.array(w, np.float32)) for g, a, w in rows if len(a)]
+    if not rows:
+        return model
+    raw = np.array([model.vector(a, w, g) for g, a, w in rows])
+    langs = np.array([g for g, *_ in rows])
+    model.languages = {g: raw[langs == g].mean(axis=0) for g in sorted(set(langs))}
+    x = _unit(raw - np.array([model.languages[g] for g in langs]))
+    rng = np.random.default_rng(seed)
+    centres = x[[rng.integers(len(x))]]
+    while len(centres) < min(topics, len(x)):
+        far = np.maximum(1 - (x @ centres.T).max(axis=1), 0) ** 2
+        centres = np.vstack([centres, x[rng.choice(len(x), p=far / far.sum()) if far.sum() > 0 else rng.integers(len(x))]])
+    for _ in range(rounds):
+        own = (x @ centres.T).argmax(axis=1)
+        new = np.array([x[own == k].mean(axis=0) if (own == k).any() else centres[k] for k in range(len(centres))])
+        if np.allclose(_unit(new), centres, atol=1e-5):
+            break
+        centres = _unit(new)
+    model.centres = centres.astype(np.float32)
+    return model
+
+
+def topic_sample(documents: DataFrame, lang: str, size: int = TOPIC_SAMPLE) -> list[tuple[str, list[int], list[float]]]:
+    """About size texts, drawn by their hash, as what fit_topics takes. Copies of a text have one hash, so they are drawn or left together,
+    and count once."""
+    texts = documents.where(F.col("text").isNotNull() & (F.col("text") != ""))
+    part = min(1.0, size / max(1, texts.count()))
+    drawn = texts.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.lit(int(part * (1 << 30)) + 1))
+    drawn = drawn.groupBy(F.xxhash64("text").alias("__h")).agg(F.min(F.struct(F.col(lang).alias("lang"), "text")).alias("r")).select("__h", "r.lang", "r.text")
+
+    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            both = [buckets(t) for t in b["text"]]
+            yield pd.DataFrame({"h": b["__h"], "lang": b["lang"], "at": [a.tolist() for a, _ in both], "w": [w.tolist() for _, w in both]})
+
+    found = spread(drawn).mapInPandas(hashed, "h bigint, lang string, at array<bigint>, w array<float>").collect()
+    return [(r["lang"], r["at"], r["w"]) for r in sorted(found, key=lambda r: r["h"])]
+
+
+def measured(documents: DataFrame, columns: list[str], folder: str = TOKENIZERS, name: str = VOCABULARY, topics: TopicModel | None = None) -> DataFrame:
+    """columns of documents with n_tokens, curve (Hilbert key), text_hash, an MD5 of the text, and with a model topic, which needs the
+    column lang. Null texts have no hash, and like empty ones no tokens."""
     kept = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in columns)
+    shared = documents.sparkSession.sparkContext.broadcast(topics)
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = shared.value
         for b in batches:
             texts = [t or "" for t in b["__text"]]
-            v = np.array([vector(t) for t in texts]).reshape(-1, DIMENSIONS)
             out = b[[*columns, "text_hash"]].copy()
             out["n_tokens"] = count_tokens(texts, folder, name)
-            out["curve"] = curve_keys(v)
-            out["topic"] = ((v[:, :3] > 0) @ np.array([4, 2, 1])).astype(np.int32)
+            if model is None:
+                out["curve"] = curve_keys(np.array([vector(t) for t in texts]).reshape(-1, DIMENSIONS))
+            else:
+                out["topic"] = np.array([model.topic(t, g) for t, g in zip(texts, b["lang"])], np.int32)
             yield out
 
     prepared = documents.select(*columns, F.md5("text").alias("text_hash"), F.col("text").alias("__text"))
-    return spread(prepared).mapInPandas(measure, f"{kept}, text_hash string, n_tokens bigint, curve bigint, topic int")
+    return spread(prepared).mapInPandas(measure, f"{kept}, text_hash string, n_tokens bigint, " + ("curve bigint" if topics is None else "topic int"))

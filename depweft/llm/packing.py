@@ -1,110 +1,105 @@
 """Filling containers of fixed capacity with whole texts.
 
-Texts are ordered along a Hilbert curve through their projected hashed vectors, the curve is cut into blocks of bounded size, and
-within a block neighbouring texts are packed best-fit. A text is cut only if it alone exceeds the capacity: its full parts
-each fill a container, and the rest is packed like any text.
+Texts are range-sorted by their key on a Hilbert curve through their projected hashed vectors, with all bits of the key and the
+hash of the text behind it, so that each task has one stretch of the curve, however many texts share a key. A task walks along its
+stretch and packs neighbours best-fit, a window at a time, for all capacities at once. A text is cut only if it alone exceeds the
+capacity: its full parts each fill a container, and the rest is packed like any text.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from depweft.llm.docvectors import BITS, DIMENSIONS, TOKENIZERS, measured
+from depweft.llm.docvectors import TOKENIZERS, measured
 from depweft.session import cut
 
-#: Texts per block; a block is packed in one task.
+#: Texts per stretch of the curve; a stretch is packed in one task, which holds no more than a window of it.
 BLOCK_ROWS = 20_000
 #: Neighbours along the curve that are packed at once, largest first, and containers that stay open meanwhile.
 WINDOW, OPEN = 1024, 256
-#: The curve's cells that are counted before it is cut: at most 2^16 numbers, whatever the number of texts.
-CELL_BITS = 16
 
 SCHEMA = "pack_name string, container_id string, doc_id bigint, part int, n_parts int, start_token bigint, n_tokens bigint"
 
 
-def pack(sizes: list[int], capacity: int, window: int = WINDOW, most_open: int = OPEN) -> list[int]:
-    """Container number of each size, in order of the curve. Best-fit within a window of neighbours, largest first; the
-    containers with least room are closed first. No size may exceed the capacity."""
-    out = [0] * len(sizes)
-    room: list[tuple[int, int]] = []  # (free, container), by free
-    used = 0
-    for first in range(0, len(sizes), window):
-        for i in sorted(range(first, min(len(sizes), first + window)), key=lambda i: (-sizes[i], i)):
-            at = bisect_left(room, (sizes[i], -1))
-            if at < len(room):
-                free, c = room.pop(at)
+class Packer:
+    """Containers of one capacity, filled window by window. Best-fit, largest first; the containers with least room are closed first
+    when more than most_open stand open after a window."""
+
+    def __init__(self, capacity: int, most_open: int = OPEN):
+        self.capacity, self.most_open, self.used = capacity, most_open, 0
+        self.room: list[tuple[int, int]] = []  # (free, container), by free
+
+    def window(self, sizes: list[int]) -> list[int]:
+        """Container number of each size; none may exceed the capacity."""
+        out = [0] * len(sizes)
+        for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
+            at = bisect_left(self.room, (sizes[i], -1))
+            if at < len(self.room):
+                free, c = self.room.pop(at)
             else:
-                free, c = capacity, used
-                used += 1
+                free, c = self.capacity, self.used
+                self.used += 1
             out[i] = c
             if free > sizes[i]:
-                insort(room, (free - sizes[i], c))
-        if len(room) > most_open:
-            del room[: len(room) - most_open]
-    return out
-
-
-def blocks_of(cells: dict[int, int], block_rows: int = BLOCK_ROWS) -> list[tuple[int, int, int]]:
-    """(cell, first block, number of blocks it is spread over): neighbouring cells share a block up to block_rows, and a cell
-    with more rows than that has blocks of its own."""
-    out, block, filled = [], 0, 0
-    for cell, n in sorted(cells.items()):
-        if n > block_rows:
-            block += filled > 0
-            parts = -(-n // block_rows)
-            out.append((cell, block, parts))
-            block, filled = block + parts, 0
-            continue
-        if filled and filled + n > block_rows:
-            block, filled = block + 1, 0
-        out.append((cell, block, 1))
-        filled += n
-    return out
-
-
-def containers(documents: DataFrame, pack_sizes: DataFrame, folder: str = TOKENIZERS) -> DataFrame:
+                insort(self.room, (free - sizes[i], c))
+        if len(self.room) > self.most_open:
+            del self.room[: len(self.room) - self.most_open]
+        return out
+
+
+def pack(sizes: list[int], capacity: int, window: int = WINDOW, most_open: int = OPEN) -> list[int]:
+    """Container number of each size, in order of the curve."""
+    packer = Packer(capacity, most_open)
+    return [c for first in range(0, len(sizes), window) for c in packer.window(sizes[first : first + window])]
+
+
+def containers(documents: DataFrame, pack_sizes: DataFrame, folder: str = TOKENIZERS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Which text lies in which container, for each capacity: SCHEMA.
 
     One row per part of a text; texts within the capacity have one part. Null, empty and other texts without tokens need no
     room and come out with a null container. Capacities that are null or below 1 are no packs. A doc_id given twice is
-    packed twice. Ties along the curve are ordered by doc_id's hash.
+    packed twice. Ties along the curve are ordered by a hash of doc_id and text.
     """
     spark = documents.sparkSession
-    packs = [(r["pack_name"], int(r["capacity_tokens"])) for r in pack_sizes.where("capacity_tokens >= 1").distinct().collect()]  # a fixed table of a few rows
+    packs = sorted((r["pack_name"], int(r["capacity_tokens"])) for r in pack_sizes.where("capacity_tokens >= 1 AND pack_name IS NOT NULL").distinct().collect())  # a fixed table of a few rows
     if not packs:
         return spark.createDataFrame([], SCHEMA)
     items = cut(measured(documents, ["doc_id"], folder).select("doc_id", "n_tokens", "curve", F.xxhash64("doc_id", "text_hash").alias("tie")))
-    cell = F.shiftright("curve", DIMENSIONS * BITS - CELL_BITS).cast("int")
-    sized = items.where("n_tokens > 0").withColumn("cell", cell)
-    counts = {r["cell"]: r["n"] for r in sized.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-    plan = spark.createDataFrame(blocks_of(counts), "cell int, first int, parts int")
-
-    offers = F.explode(F.array(*(F.struct(F.lit(n).alias("pack_name"), F.lit(c).cast("bigint").alias("capacity")) for n, c in packs))).alias("p")
-    whole = F.floor(F.col("n_tokens") / F.col("capacity")).cast("int")
-    offered = sized.join(F.broadcast(plan), "cell").select("*", offers).select("doc_id", "n_tokens", "curve", "tie", "p.*", (F.col("first") + F.pmod("tie", F.col("parts"))).cast("int").alias("block"))
-    offered = offered.withColumn("full", whole).withColumn("rest", F.col("n_tokens") - F.col("full") * F.col("capacity")).withColumn("n_parts", F.col("full") + (F.col("rest") > 0).cast("int"))
-
-    part = F.explode(F.sequence(F.lit(0), F.col("full") - 1)).alias("part")
-    filled = offered.where("full > 0").select("pack_name", "capacity", "doc_id", "n_parts", "tie", part)
-    filled = filled.select(
-        "pack_name", F.concat_ws("-", F.lit("f"), F.lower(F.hex("tie")), "doc_id", "part").alias("container_id"), "doc_id", "part", "n_parts", (F.col("part") * F.col("capacity")).alias("start_token"), F.col("capacity").alias("n_tokens")
-    )
-
-    def pack_block(b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values(["curve", "tie", "doc_id"], kind="stable")
-        at = pack(b["rest"].tolist(), int(b["capacity"].iloc[0]))
-        block = b["block"].iloc[0]
-        return pd.DataFrame(
-            {"pack_name": b["pack_name"], "container_id": [f"b-{block}-{c}" for c in at], "doc_id": b["doc_id"], "part": b["full"], "n_parts": b["n_parts"], "start_token": b["full"] * b["capacity"], "n_tokens": b["rest"]}
-        )
-
-    packed = offered.where("rest > 0").groupBy("pack_name", "block").applyInPandas(pack_block, SCHEMA)
-    nothing = items.where("n_tokens = 0").select("*", offers).select(F.col("p.pack_name"), F.lit(None).cast("string").alias("container_id"), "doc_id", F.lit(0).alias("part"), F.lit(1).alias("n_parts"), F.lit(0).cast("bigint").alias("start_token"), "n_tokens")
-    return packed.unionByName(filled).unionByName(nothing)
+    stretches = max(1, -(-items.count() // block_rows))
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        task = TaskContext.get().partitionId()
+        packers = [(name, capacity, Packer(capacity)) for name, capacity in packs]
+        whole = dict.fromkeys(range(len(packs)), 0)
+        for b in batches:
+            for first in range(0, len(b), WINDOW):
+                w = b.iloc[first : first + WINDOW]
+                doc, n = w["doc_id"].to_numpy(), w["n_tokens"].to_numpy()
+                for p, (name, capacity, packer) in enumerate(packers):
+                    full, rest = n // capacity, n % capacity
+                    parts = np.maximum(full + (rest > 0), 1)
+                    at = np.flatnonzero(rest)
+                    ids = [f"{task}-{c}" for c in packer.window(rest[at].tolist())]
+                    yield pd.DataFrame({"pack_name": name, "container_id": ids, "doc_id": doc[at], "part": full[at].astype(np.int32), "n_parts": parts[at].astype(np.int32), "start_token": full[at] * capacity, "n_tokens": rest[at]})
+                    if full.any():
+                        own = np.repeat(np.arange(len(n)), full)
+                        part = np.arange(len(own)) - np.repeat(np.cumsum(full) - full, full)
+                        ids = [f"{task}-f{whole[p] + i}" for i in range(len(own))]
+                        whole[p] += len(own)
+                        yield pd.DataFrame({"pack_name": name, "container_id": ids, "doc_id": doc[own], "part": part.astype(np.int32), "n_parts": parts[own].astype(np.int32), "start_token": part * capacity, "n_tokens": np.full(len(own), capacity)})
+                    none = np.flatnonzero(n == 0)
+                    if len(none):
+                        yield pd.DataFrame({"pack_name": name, "container_id": pd.Series([None] * len(none), dtype=object), "doc_id": doc[none], "part": np.int32(0), "n_parts": np.int32(1), "start_token": 0, "n_tokens": 0})
+
+    sorted_items = items.repartitionByRange(stretches, "curve", "tie").sortWithinPartitions("curve", "tie", "doc_id")
+    return sorted_items.select("doc_id", "n_tokens").mapInPandas(walk, SCHEMA)
 
 
 def fill_report(packed: DataFrame, pack_sizes: DataFrame) -> DataFrame:

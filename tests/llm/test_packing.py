@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from depweft.llm.docvectors import count_tokens, curve_keys, encoding, hilbert, pieces, vector
-from depweft.llm.packing import blocks_of, containers, fill_report, pack
+from depweft.llm.packing import containers, fill_report, pack
 
 
 def test_hilbert_visits_every_point_by_single_steps():
@@ -42,16 +42,37 @@ def test_pack_fills_well():
     assert sum(sizes) / (256 * (max(at) + 1)) > 0.985
 
 
-def test_blocks_bound_rows_and_spread_hot_cells():
-    cells = {0: 3, 1: 9_000, 2: 4, 3: 4, 9: 6}
-    plan = {c: (b, n) for c, b, n in blocks_of(cells, 10)}
-    assert plan[1][1] == 900
-    load: dict[int, int] = {}
-    for c, (b, n) in plan.items():
-        for i in range(n):
-            load[b + i] = load.get(b + i, 0) + -(-cells[c] // n)
-    assert max(load.values()) <= 10 and sorted(load) == list(range(len(load)))
-    assert blocks_of({}) == []
+def test_stretches_follow_the_curve_and_split_hot_keys(spark):
+    """A key that holds most texts is spread over stretches; every stretch is one piece of the curve, in all its bits."""
+    same = [(i, "one and the same text") for i in range(600)]
+    other = [(1000 + i, f"word{i} other{i * 7} third{i % 13} " * 5) for i in range(300)]
+    docs = spark.createDataFrame(same + other, "doc_id bigint, text string")
+    sizes = spark.createDataFrame([("s", 64)], "pack_name string, capacity_tokens int")
+    out = containers(docs, sizes, block_rows=100).toPandas()
+    out["stretch"] = out["container_id"].str.split("-").str[0].astype(int)
+    assert out.groupby("container_id")["n_tokens"].sum().max() <= 64 and out["doc_id"].nunique() == 900
+    assert out["stretch"].nunique() >= 7 and out[out["doc_id"] < 1000]["stretch"].nunique() >= 4
+    key = {d: k for (d, _), k in zip(same + other, curve_keys(np.array([vector(t) for _, t in same + other])))}
+    out["curve"] = out["doc_id"].map(key)
+    ends = out.groupby("stretch")["curve"].agg(["min", "max"]).sort_index()
+    assert (ends["min"].to_numpy()[1:] >= ends["max"].to_numpy()[:-1]).all()
+
+
+def test_a_long_text_given_twice_has_containers_of_its_own(spark):
+    docs = spark.createDataFrame([(1, "word " * 300)] * 2, "doc_id bigint, text string")
+    out = containers(docs, spark.createDataFrame([("s", 64)], "pack_name string, capacity_tokens int")).toPandas()
+    assert out.groupby("container_id")["n_tokens"].sum().max() <= 64 and out["n_tokens"].sum() == 2 * count_tokens(["word " * 300])[0]
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.sampled_from(["a" * 3000, " " * 12_000, "\n" * 11_000, "\u00a0" * 10_500, "x", " y", "'s", "7" * 2500, "-" * 4000, "é" * 2100, "\x1c" * 10_100, "word  "]), max_size=6))
+def test_counts_are_those_of_the_tokenizer(parts):
+    text = "".join(parts)
+    assert count_tokens([text]) == [len(encoding().encode_ordinary(text))]
+
+
+def test_runs_that_the_pattern_cannot_walk_over():
+    assert count_tokens([" " * 1_500_000 + "x"])[0] == count_tokens([" " * 1_499_999])[0] + len(encoding().encode_ordinary(" x"))
 
 
 def test_long_runs_are_counted_in_pieces():
