@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from depweft.llm.handwritten import not_handwritten
-from depweft.llm.mixing import mixture, shares_report
+from depweft.llm.mixing import margins_report, mixture, shares_report
 from depweft.llm.packing import containers, fill_report
 from depweft.llm.pii import personal_data, redacted
 from depweft.session import tables
@@ -43,6 +43,12 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return shares_report(mixture(documents, mix_weights), mix_weights)
 
 
+def p7_margins(spark: SparkSession, d: str) -> DataFrame:
+    """Target and actual shares of every source, language and topic."""
+    documents, mix_weights = tables(spark, d, "documents", "mix_weights")
+    return margins_report(documents, mix_weights)
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     (documents,) = tables(spark, d, "documents")
     return personal_data(documents)
@@ -53,7 +59,7 @@ def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
     return redacted(documents)
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_reasons, p6_containers, p6_fill, p7_mixture, p7_shares, p8_found, p8_redacted)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_reasons, p6_containers, p6_fill, p7_mixture, p7_shares, p7_margins, p8_found, p8_redacted)}
 SQL: dict[str, str] = {}
 
 
