@@ -21,6 +21,8 @@ _FAMILIES = {
     "html": r"<!--.*?(?:-->|\Z)|" + f'"[^"]*"?|{_WORDS}|{_REST}',
 }
 _TOKENS = {name: re.compile(p + r"|\n", re.S) for name, p in _FAMILIES.items()}
+#: The same with the blanks between tokens, so that the tokens make up the whole text.
+_ALL_TOKENS = {name: re.compile(p + r"|\n|[^\S\n]+", re.S) for name, p in _FAMILIES.items()}
 #: File name endings of the languages whose comments start with # or <!--, and of style sheets.
 HASH_ENDINGS = ("py", "pyi", "rb", "sh", "bash", "pl", "r", "jl", "ex", "exs", "tf", "yaml", "yml", "toml")
 HTML_ENDINGS = ("html", "htm", "xml", "svg", "vue", "astro", "md", "mdx")
@@ -174,10 +176,17 @@ def layout(path: str, text: str) -> Layout:
     kind = family(path)
     out = Layout()
     literal = names = 0
-    tokens = _TOKENS[kind].findall(text)
-    for t in tokens:
+    tokens: list[str] = []
+    code: list[str] = []
+    for t in _ALL_TOKENS[kind].findall(text):
         c = t[0]
         n = len(t)
+        code.append(t)
+        if c.isspace():
+            if c == "\n":
+                tokens.append(t)
+            continue
+        tokens.append(t)
         if n == 1:
             if c.isdigit():
                 literal += 1
@@ -186,6 +195,7 @@ def layout(path: str, text: str) -> Layout:
             continue
         if c in "/#<" and _is_comment(kind, t):
             out.comments.append(t)
+            code[-1] = " "
         elif c.isdigit():
             literal += n
         elif c in "\"'`":
@@ -195,15 +205,13 @@ def layout(path: str, text: str) -> Layout:
                 names += n
         else:
             names += n
-    code = text
-    for t in out.comments:
-        code = code.replace(t, " ", 1)
-    out.code_lines = sum(1 for x in code.split("\n") if x and not x.isspace())
+    bare = "".join(code)
+    out.code_lines = sum(1 for x in bare.split("\n") if x and not x.isspace())
     lines = canonical(kind, tokens)
     out.canonical_lines = len(lines)
     out.expansion = out.canonical_lines / max(1, out.code_lines)
     out.literal_chars = literal
     out.literal_share = literal / max(1, literal + names)
     out.uniformity, out.repeated = uniformity(lines, sum(t != "\n" for t in tokens) - len(out.comments))
-    out.numbered = numbered(code)
+    out.numbered = numbered(bare)
     return out

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from depweft.llm.handwritten import not_handwritten
+from depweft.llm.handwritten import judged_sources, not_handwritten
 from depweft.llm.mixing import margins_report, mixture, shares_report
 from depweft.llm.packing import containers, fill_report
 from depweft.llm.pii import personal_data, redacted
@@ -23,6 +23,12 @@ def p3_reasons(spark: SparkSession, d: str) -> DataFrame:
     return not_handwritten(nodes, file_types, documents, library).groupBy("reason").agg(F.count(F.lit(1)).alias("n_files"))
 
 
+def p3_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """The same files counted by reason and by what shows it."""
+    nodes, file_types, documents, library = tables(spark, d, "nodes", "file_types", "documents", "library_files")
+    return judged_sources(nodes, file_types, documents, library).groupBy("reason", "evidence").agg(F.count(F.lit(1)).alias("n_files"))
+
+
 def p6_containers(spark: SparkSession, d: str) -> DataFrame:
     documents, pack_sizes = tables(spark, d, "documents", "pack_sizes")
     return containers(documents, pack_sizes)
@@ -59,7 +65,7 @@ def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
     return redacted(documents)
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_reasons, p6_containers, p6_fill, p7_mixture, p7_shares, p7_margins, p8_found, p8_redacted)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_reasons, p3_evidence, p6_containers, p6_fill, p7_mixture, p7_shares, p7_margins, p8_found, p8_redacted)}
 SQL: dict[str, str] = {}
 
 
