@@ -163,7 +163,7 @@ def fit_topics(rows: list[tuple[str, list[int], list[float]]], topics: int = TOP
     """Spherical k-means over (language, hashed words, damped counts) of a sample of texts."""
     seen = np.zeros(BUCKETS)
     for _, at, _ in rows:
-        seen[np.unique(at)] += 1
+        seen[np.unique(np.array(at, np.int64))] += 1
     model = TopicModel(np.log((1 + len(rows)) / (1 + seen)).astype(np.float32), {}, np.zeros((0, TOPIC_DIMENSIONS), np.float32))
     rows = [(g, np.array(a, np.int64), np.array(w, np.float32)) for g, a, w in rows if len(a)]
     if not rows:
