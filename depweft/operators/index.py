@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from depweft.functions import fixed, keys
 from depweft.operators import extract, graph
+from depweft.operators.incremental import VersionedTarget
 from depweft.operators.resolve import expanded, resolved
 from depweft.session import cut, cut_counted
 from depweft.sources.binaries import binary_references
@@ -48,6 +51,27 @@ def file_references(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return refs.distinct(), errors
 
 
+DONE = "path string, digest string, spec string, relation string, evidence string, mode string, error string"
+
+
+def references_in_portions(files: DataFrame, done: VersionedTarget, portions: int = 16, cancelled: Callable[[], bool] = lambda: False) -> bool:
+    """References of the files that done (schema DONE) does not hold yet under their digest, extracted and published portion by portion.
+
+    Returns whether all is done; cancelled is asked before each portion. A run that is cancelled or fails keeps the portions it has
+    published, and the next run takes up the files that are left. A file without references has one row without spec.
+    """
+    held = done.read().select("path", "digest").distinct()
+    left = cut(with_bytes(files).where(F.col("error").isNull()).join(held, ["path", "digest"], "left_anti"))
+    for n in range(portions):
+        if cancelled():
+            return False
+        part = left.where(F.pmod(F.xxhash64("path"), F.lit(portions)) == n)
+        refs, errors = file_references(part)
+        rows = part.select("path", "digest").join(refs, "path", "left").join(errors, "path", "left").select(*(c.split()[0] for c in DONE.split(", ")))
+        done.publish(rows, done.version())
+    return True
+
+
 def file_edges(files: DataFrame, inventory: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Edges of all files, and path, error of those that failed.
 

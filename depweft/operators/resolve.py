@@ -30,12 +30,18 @@ ALIASES = {"@/": "src/", "~/": "src/"}
 
 
 def stems(inventory: DataFrame) -> DataFrame:
-    """family, stem, target, rank: every path under the stems that lead to it."""
-    ends = [F.struct(F.lit(f).alias("family"), F.lit(e).alias("end"), F.lit(i).alias("rank")) for f, es in FAMILIES.items() for i, e in enumerate(es)]
-    fitting = F.filter(F.array(*ends), lambda x: F.endswith(F.col("path"), x["end"]) & (F.length("path") > F.length(x["end"])))
-    rows = inventory.select("path").distinct().select("path", F.explode(fitting).alias("e"))
-    stem = F.substring(F.col("path"), F.lit(1), F.length("path") - F.length("e.end"))
-    return rows.select("e.family", stem.alias("stem"), F.col("path").alias("target"), "e.rank")
+    """family, stem, target, rank: every path under the stems that lead to it.
+
+    A path can end in four ways that a rule knows: anyhow, in its own ending, in its name below a folder, and in that below a folder with
+    an ending. These meet the small table of all endings by a broadcast join.
+    """
+    rows = [(f, e, i) for f, es in FAMILIES.items() for i, e in enumerate(es)]
+    ends = F.broadcast(inventory.sparkSession.createDataFrame(rows, "family string, end string, rank int"))
+    path, ending = F.col("path"), r"\.[^./]+$"
+    below = F.concat(F.lit("/"), keys.base_name(path))
+    own = F.array_distinct(F.array(F.lit(""), F.regexp_extract(path, ending, 0), below, F.concat(F.regexp_extract(keys.parent(path), ending, 0), below)))
+    fitting = inventory.select("path").distinct().select("path", F.explode(own).alias("end")).join(ends, "end").where(F.length("path") > F.length("end"))
+    return fitting.select("family", F.substring(path, F.lit(1), F.length("path") - F.length("end")).alias("stem"), path.alias("target"), "rank")
 
 
 def _case(column: Column, pairs: dict[str, str]) -> Column:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from depweft.plans import adapter_queries, core_problems, graph_queries, monitor_queries, text_queries
+from depweft.plans import adapter_queries, core_problems, graph_queries, monitor_queries, more_queries, text_queries
 
-MODULES = [core_problems, graph_queries, text_queries, monitor_queries, adapter_queries]
+MODULES = [core_problems, graph_queries, text_queries, monitor_queries, adapter_queries, more_queries]
 
 
 def queries() -> dict:
