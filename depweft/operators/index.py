@@ -41,14 +41,20 @@ def file_references(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     held = files.where(F.col("content").isNotNull()).select("path", extract.decoded(F.col("content")).alias("text"), F.length("content").alias("size"))
     texts = cut(held)
-    small, large = texts.where(F.col("size") <= TEXT_LIMIT), texts.where(F.col("size") > TEXT_LIMIT).select("path", "text")
-    parsed, errors = extract.parsed_references(small)
+    small, large = texts.where(F.col("size") <= TEXT_LIMIT).select("path", "text"), texts.where(F.col("size") > TEXT_LIMIT).select("path", "text")
     pieces = cut(text_pieces(files.where(keys.suffix(F.col("path")).isin(PATTERN_ENDINGS))))
-    scanned = texts.select("path", "text").unionByName(pieces)
-    refs = parsed.unionByName(extract.package_json(small)).unionByName(extract.manifest_lines(small)).unionByName(extract.python_streamed(large.unionByName(pieces)))
+    return text_references(small, large.unionByName(pieces))
+
+
+def text_references(texts: DataFrame, pieces: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """References of texts (path, text) by every extractor, and path, error of those that can't be parsed; pieces of larger texts are only
+    scanned by patterns."""
+    refs, errors = extract.parsed_references(texts)
+    refs = refs.unionByName(extract.package_json(texts)).unionByName(extract.manifest_lines(texts))
+    scanned = texts if pieces is None else texts.unionByName(pieces)
     for extractor in (extract.static_references, extract.web_references, extract.semantic_references, extract.template_imports, extract.literal_writes):
         refs = refs.unionByName(extractor(scanned))
-    return refs.distinct(), errors
+    return (refs if pieces is None else refs.unionByName(extract.python_streamed(pieces))).distinct(), errors
 
 
 DONE = "path string, digest string, spec string, relation string, evidence string, mode string, error string"

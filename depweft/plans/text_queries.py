@@ -10,10 +10,11 @@ from depweft.functions.projects import is_binary_name, project_id
 from depweft.functions.text import digest_norm
 from depweft.operators import classify as cls
 from depweft.operators import extract, monitor
+from depweft.operators.index import text_references
 from depweft.operators.notes import has_secrets
-from depweft.operators.resolve import resolved
+from depweft.operators.resolve import expanded, resolved
 from depweft.plans.core_problems import node_states
-from depweft.session import tables
+from depweft.session import cut, tables
 from depweft.sources.git import clipped_ranges, deployments_of, same_deployment, valid_path
 
 
@@ -48,12 +49,11 @@ def refs_semantic(spark, d):
 
 
 def resolved_edges(spark, d):
-    """Edges of static and web references against all known files."""
-    files = file_texts(spark, d)
+    """Edges of the references that all extractors find, against all known files."""
     (nodes,) = tables(spark, d, "nodes")
     inventory = nodes.where(F.col("key").startswith("file:")).select(keys.relative(F.col("key")).alias("path")).distinct()
-    refs = extract.static_references(files).unionByName(extract.web_references(files)).unionByName(extract.python_streamed(files))
-    return resolved(refs, inventory)
+    refs = cut(text_references(file_texts(spark, d).where(F.col("text").isNotNull()))[0])
+    return resolved(refs, inventory).unionByName(expanded(refs, inventory)).distinct()
 
 
 def text_digests(spark, d):
