@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from depweft.llm.docvectors import TOKENIZERS, fit_topics, measured, topic_sample
+from depweft.llm.docvectors import TOKENIZERS, fit_all_topics, measured, with_topics
 from depweft.session import cut
 
 #: Raking ends when no cell's weight moves by more than this part of itself in a round, or at MOST_ROUNDS.
@@ -47,10 +47,13 @@ def distinct_texts(documents: DataFrame, mixes: DataFrame, folder: str = TOKENIZ
     """
     clean = documents.withColumn("source", clean_source(F.col("source"))).withColumn("lang", clean_lang(F.col("lang")))
     used = clean.join(F.broadcast(mixes.select("source").distinct()), "source", "left_semi")
-    model = fit_topics(topic_sample(used, "lang"))
-    rows = measured(used, ["doc_id", "source", "lang"], folder, topics=model).where("n_tokens > 0")
-    per_source = rows.groupBy("text_hash", "source").agg(F.min(F.struct("doc_id", "lang", "topic", "n_tokens")).alias("d"))
-    per_mix = per_source.join(F.broadcast(mixes.select("mix_name", "source")), "source").select("mix_name", "text_hash", F.struct("d.doc_id", "source", "d.lang", "d.topic", "d.n_tokens").alias("d"))
+    rows = measured(used, ["doc_id", "source", "lang"], folder, words=True).where("n_tokens > 0")
+    per_source = rows.groupBy("text_hash", "source").agg(F.min(F.struct("doc_id", "lang", "n_tokens", "at", "n")).alias("d"))
+    places = F.collect_list(F.struct("source", "d.doc_id", "d.lang")).alias("places")  # one per source of the mixes at most
+    texts = per_source.groupBy("text_hash").agg(F.min("d").alias("d"), places).select("text_hash", F.xxhash64("text_hash").alias("id"), "places", "d.lang", "d.n_tokens", "d.at", "d.n")
+    model, placed = fit_all_topics(cut(texts))
+    each = placed.select("text_hash", "n_tokens", F.explode("places").alias("p"), "raw").select("text_hash", "n_tokens", "p.source", "p.doc_id", "p.lang", "raw")
+    per_mix = with_topics(each, model).join(F.broadcast(mixes.select("mix_name", "source")), "source").select("mix_name", "text_hash", F.struct("doc_id", "source", "lang", "topic", "n_tokens").alias("d"))
     return per_mix.groupBy("mix_name", "text_hash").agg(F.min("d").alias("d")).select("mix_name", "d.*", F.xxhash64("text_hash", F.lit("draw")).alias("tie"))
 
 
